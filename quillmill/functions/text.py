@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _WORD = re.compile(r"\w+")
 
@@ -23,7 +24,7 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(fold(text)) if text else []
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Exact form: the words of a text joined by one space; null stays null (B1)."""
     for s in texts:
