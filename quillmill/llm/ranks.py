@@ -1,0 +1,24 @@
+"""Ranks within a key without sending a key to one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def rank_within(df: DataFrame, key: str, order: str, buckets: int, rank_col: str = "rank") -> DataFrame:
+    """Adds the 0-based rank of each row among the rows of its ``key``.
+
+    A key may hold any share of all rows: its rows are spread over ``buckets`` by a hash of ``order`` (which
+    must tell the rows of a key apart for a defined order), ranked inside (key, bucket), and moved up by the
+    sizes of the buckets before. So the order is (hash bucket, ``order``). Null is a key of its own.
+    """
+    bucket: Column = F.pmod(F.xxhash64(F.col(order)), F.lit(buckets)).cast("int")
+    part = df.withColumn("__b", bucket)
+    sizes = part.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(key).alias("__k"), F.col("__b").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
+    inner = F.row_number().over(Window.partitionBy(key, "__b").orderBy(order)) - 1
+    ranked = part.withColumn("__i", inner)
+    joined = ranked.join(starts, (ranked["__b"] == starts["__s"]) & ranked[key].eqNullSafe(starts["__k"]))
+    return joined.withColumn(rank_col, F.col("__i") + F.col("__at")).drop("__b", "__s", "__k", "__i", "__at")
