@@ -13,6 +13,7 @@ from quillmill.llm.neardup import group_pairs, near_groups
 from quillmill.llm.oracles import ORACLES
 from quillmill.llm.overlap import cross_split
 from quillmill.llm.packing import pack, split_items
+from quillmill.llm.spam import stuffed_pages
 from quillmill.llm.splits import assign, clean_ids, groups
 from quillmill.llm.tasks import documents, split_of, synthetic_tasks
 from quillmill.session import cut, table
@@ -120,8 +121,21 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): pages stuffed with keywords, links or tags."""
+    return stuffed_pages(documents(spark, sf_dir), "doc_id", "text").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, pages, stuffed): stuffed pages of each source, null being a source of its own."""
+    docs = documents(spark, sf_dir)
+    bad = stuffed_pages(docs, "doc_id", "text").select(F.col("doc_id").alias("__d"), F.lit(1).alias("bad"))
+    joined = docs.select("doc_id", "source").join(bad, F.col("doc_id") == F.col("__d"), "left")
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("stuffed"))
+
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    p1_found, p1_splits, p2_found, p2_counts, p2_coverage, p5_found, p5_groups, p4_found, p4_tiles, p4_tests, p6_ids, p7_found, p7_containers,
+    p1_found, p1_splits, p2_found, p2_counts, p2_coverage, p5_found, p5_groups, p4_found, p4_tiles, p4_tests, p6_ids, p7_found, p7_containers, p8_found, p8_sources,
 )
 
 
