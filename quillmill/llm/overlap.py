@@ -4,7 +4,8 @@ Of every window of WINDOW consecutive word triples the smallest rolling hash is
 with a common run of WINDOW triples share one. Smallest means rarest first: the order is (level of a count
 sketch, hash), the same for all texts. A window may hold common triples only; its fingerprint is then too
 common to join on, and the text shows instead its n - ceil(t*n) + 1 rarest triples, of which two texts of
-similarity t always share one, so nothing is dropped. Texts whose triples repeat show those as well, since
+similarity t always share one, so nothing is dropped. Sizes and parity sketches (see neardup), which bound the
+difference of two texts from below, are compared inside the join. Texts whose triples repeat show those as well, since
 repetition could break every common run. Candidate pairs come with the places of their fingerprints (seeds);
 seeds in line are chained, extended by alignment to the left and right, and the covered triples reported; the
 exact similarity decides.
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.neardup import similarity
+from quillmill.llm.neardup import WORDS, similarity, sketch_distance, sketches
 from quillmill.llm.shingles import Levels, _firsts, count_levels, seq_arrays, shingle_rows
 from quillmill.session import cut
 
 WINDOW = 4
-HOT_LEVEL = 10  #: triples in 2**10 texts or more are too common to join on
+HOT_LEVEL = 6  #: triples in 2**6 texts or more are too common to join on
 
 
 def winnow(key: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -60,7 +61,7 @@ def order_keys(h: np.ndarray, levels: Levels) -> np.ndarray:
 
 
 def fingerprints(classes: DataFrame, levels: Levels, t: float, hot_level: int = HOT_LEVEL) -> DataFrame:
-    """(fp, cls, n, place, training): the fingerprints of every text."""
+    """(fp, cls, n, place, training, s0..s3): the fingerprints of every text, with its size and parity sketch."""
     shared = classes.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +76,8 @@ def fingerprints(classes: DataFrame, levels: Levels, t: float, hot_level: int =
             full[owner[chosen[hot]]] = True
             full |= np.diff(offsets) > n
             first = _firsts(owner, h)
+            once = np.flatnonzero(np.concatenate(([True], np.diff(owner[first]) != 0))) if len(first) else np.empty(0, np.int64)
+            sketch = sketches(h[first], once) if len(first) else [np.empty(0, np.int64)] * WORDS
             first = first[full[owner[first]]]
             first = first[np.lexsort((key[first], owner[first]))]
             o = owner[first]
@@ -83,11 +86,11 @@ def fingerprints(classes: DataFrame, levels: Levels, t: float, hot_level: int =
             at = np.unique(np.concatenate([chosen[~hot], rarest]))
             at = at[lv.of(h[at]) > 0]  # a counter of one: no other text has it
             row = owner[at]
-            cols = [h[at].view(np.int64), b.column(0).to_numpy()[row], n[row], (at - offsets[row]).astype(np.int32), np.asarray(b.column(2))[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["fp", "cls", "n", "place", "training"])
+            cols = [h[at].view(np.int64), b.column(0).to_numpy()[row], n[row], (at - offsets[row]).astype(np.int32), np.asarray(b.column(2))[row], *(x[row] for x in sketch)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["fp", "cls", "n", "place", "training", *(f"s{k}" for k in range(WORDS))])
 
     src = classes.select("cls", "n", "training", "seq")
-    return src.mapInArrow(run, "fp bigint, cls bigint, n int, place int, training boolean")
+    return src.mapInArrow(run, "fp bigint, cls bigint, n int, place int, training boolean, " + ", ".join(f"s{k} bigint" for k in range(WORDS)))
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,7 +156,7 @@ def aligned(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint, similarity double, cover_a double, cover_b double")
 
 
-def cross_split(records: DataFrame, id_col: str, text_col: str, training_col: str, t: float = 0.7, bits: int = 20) -> DataFrame:
+def cross_split(records: DataFrame, id_col: str, text_col: str, training_col: str, t: float = 0.7, bits: int = 21) -> DataFrame:
     """(train_id, eval_id, similarity, train_cover, eval_cover): overlaps of training with evaluation records.
 
     ``training_col`` is true for training, false for evaluation; records with null belong to neither. Null,
@@ -167,10 +170,15 @@ def cross_split(records: DataFrame, id_col: str, text_col: str, training_col: st
     classes = cut(rows.select("cls", "n", "training", "seq").dropDuplicates(["cls", "training"]), "overlap-classes")
     levels = count_levels(classes, bits)
     fps = fingerprints(classes, levels, t)
-    a = fps.where("training").select("fp", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("x"))
-    b = fps.where("not training").select(F.col("fp").alias("__fp"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("y"))
-    sized = (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("fp") == F.col("__fp"))
-    seeds = a.join(b, sized).groupBy("a", "b").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
+    a, b = fps.where("training").alias("a"), fps.where("not training").alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    near = (
+        (F.col("a.fp") == F.col("b.fp"))
+        & (F.least(na, nb) >= F.lit(t) * F.greatest(na, nb) - F.lit(1e-9))
+        & (sketch_distance("a", "b") <= F.floor(F.lit((1 - t) / (1 + t)) * (na + nb) + F.lit(1e-9)))
+    )
+    met = a.join(b, near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.place").alias("x"), F.col("b.place").alias("y"))
+    seeds = met.groupBy("a", "b").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
     once = classes.select("cls", "seq").dropDuplicates(["cls"])
     pairs = cut(aligned(cut(seeds, "overlap-seeds"), once, t), "overlap-pairs")
     ma = members.where("training").select(F.col("__id").alias("train_id"), F.col("cls").alias("__a"))
