@@ -13,10 +13,11 @@ from quillmill.llm.neardup import group_pairs, near_groups
 from quillmill.llm.oracles import ORACLES
 from quillmill.llm.overlap import cross_split
 from quillmill.llm.packing import pack, split_items
+from quillmill.llm.pairs import broken_pairs
 from quillmill.llm.spam import stuffed_pages
 from quillmill.llm.splits import assign, clean_ids, groups
 from quillmill.llm.tasks import documents, split_of, synthetic_tasks
-from quillmill.session import cut, table
+from quillmill.session import cut, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,21 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, defect): records whose reply fails, with the kind of defect."""
+    records = spread(table(spark, sf_dir, "inference_record").select("record_id", "instance_id", "raw_output"))
+    examples = table(spark, sf_dir, "example_instance").select(F.col("instance_id").alias("__i"), "question").dropDuplicates(["__i"])
+    pairs = records.join(examples, F.col("instance_id") == F.col("__i"), "left")
+    return broken_pairs(pairs, "record_id", "raw_output", "question").distinct()  # rows delivered again
+
+
+def p3_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(method, defect, records): defects of each method, null being a method of its own."""
+    method = table(spark, sf_dir, "inference_record").select(F.col("record_id").alias("__r"), "method").dropDuplicates(["__r"])
+    found = p3_found(spark, sf_dir)
+    return found.join(method, F.col("record_id") == F.col("__r")).groupBy("method", "defect").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus_table, corpus_id, test_id): training texts with at least half of a test question's triples."""
     return p4_tiles(spark, sf_dir).select("corpus_table", "corpus_id", "test_id")
@@ -73,7 +89,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p4_found with the shared triples and the words of the tiles."""
     tests = table(spark, sf_dir, "bench_instance").select(F.col("instance_id").alias("test_id"), "question")
-    docs = documents(spark, sf_dir).select(F.lit("documents").alias("corpus_table"), F.col("doc_id").cast("string").alias("corpus_id"), "text")
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text")).select(F.lit("documents").alias("corpus_table"), F.col("doc_id").cast("string").alias("corpus_id"), "text")
     tasks = synthetic_tasks(spark, sf_dir).where(split_of("split") == "training")
     tasks = tasks.select(F.lit("synthetic_task").alias("corpus_table"), F.col("instance_id").alias("corpus_id"), F.col("question").alias("text"))
     found = leaked(docs.unionByName(tasks), tests, ["corpus_table", "corpus_id"], "text", "test_id", "question")
@@ -101,13 +117,13 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): the token ids of every document."""
-    return encode(documents(spark, sf_dir), "doc_id", "text")
+    return encode(spread(documents(spark, sf_dir).select("doc_id", "text")), "doc_id", "text")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One row by its definition; more kinds of container would each be packed by a call of their own.
     capacity = table(spark, sf_dir, "container_spec").agg(F.min("capacity_tokens")).first()[0]
-    sizes = cut(count_tokens(documents(spark, sf_dir), "doc_id", "text"), "p7-sizes")
+    sizes = cut(count_tokens(spread(documents(spark, sf_dir).select("doc_id", "text")), "doc_id", "text"), "p7-sizes")
     return pack(sizes, "doc_id", "tokens", int(capacity))
 
 
@@ -123,7 +139,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id): pages stuffed with keywords, links or tags."""
-    return stuffed_pages(documents(spark, sf_dir), "doc_id", "text").select("doc_id")
+    return stuffed_pages(spread(documents(spark, sf_dir).select("doc_id", "text")), "doc_id", "text").select("doc_id")
 
 
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +151,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    p1_found, p1_splits, p2_found, p2_counts, p2_coverage, p5_found, p5_groups, p4_found, p4_tiles, p4_tests, p6_ids, p7_found, p7_containers, p8_found, p8_sources,
+    p1_found, p1_splits, p2_found, p2_counts, p2_coverage, p3_found, p3_methods, p5_found, p5_groups, p4_found, p4_tiles, p4_tests, p6_ids, p7_found, p7_containers, p8_found, p8_sources,
 )
 
 
