@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillmill.plans.registry import Query, core
 
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = ("text_queries",)
 
 
 def _load() -> None:
