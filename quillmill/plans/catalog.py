@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillmill.plans.registry import Query, core
 
-_MODULES: tuple[str, ...] = ("text_queries", "retrieval_queries")
+_MODULES: tuple[str, ...] = ("text_queries", "retrieval_queries", "sampling_queries")
 
 
 def _load() -> None:
