@@ -115,7 +115,7 @@ def without_skills(user: Column) -> Column:
     """The user prompt without the first skill block."""
     start = F.locate("Relevant Skill:\n", user)
     stop = F.locate("\n\n", user, 1)
-    rest = F.substring_index(user, "\n\n", -1)
+    rest = F.substr(user, stop + 2)
     return F.when((start == 1) & (stop > 0), rest).otherwise(user)
 
 
