@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,22 +23,36 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also where f uses it inside higher-order functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def word_grams(words: Column, n: int = GRAM_WORDS) -> Column:
-    """Distinct runs of ``n`` words; an empty array for fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Runs of ``n`` words, repeated ones too; an empty array for fewer words."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
+
+
+def _char_grams(flat: Column) -> Column:
+    width = F.least(F.lit(8), F.greatest(F.lit(3), F.length(flat)))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - width + 1, F.lit(1))), lambda i: F.substr(flat, i, width))
 
 
 def grams(c: Column) -> Column:
-    """Word 5-grams, or for shorter texts character grams of the text without spaces (B2).
+    """Word 5-grams, or for shorter texts character grams of the text without spaces (B2), repeated ones too.
 
-    A text without words has the single gram ''; null has null.
+    A text without words has the single gram ''; null has null. Sets of them are best made of their hashes, since
+    distinct strings of an array are found by comparing all with all.
     """
     words = words_native(c)
-    flat = F.array_join(words, "")
-    width = F.least(F.lit(8), F.greatest(F.lit(3), F.length(flat)))
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - width + 1, F.lit(1))), lambda i: F.substr(flat, i, width))
-    return F.when(c.isNull(), None).when(F.size(words) >= GRAM_WORDS, word_grams(words)).otherwise(F.array_distinct(chars))
+    both = lambda w: F.when(F.size(w) >= GRAM_WORDS, word_grams(w)).otherwise(let(F.array_join(w, ""), _char_grams))
+    return F.when(c.isNull(), None).otherwise(let(words, both))
+
+
+def gram_set(c: Column) -> Column:
+    """The distinct grams as 64-bit hashes."""
+    return F.array_distinct(F.transform(grams(c), lambda g: F.xxhash64(g)))
 
 
 def tokens(c: Column) -> Column:

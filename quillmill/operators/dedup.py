@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.strings import grams, number_signature
+from quillmill.functions.strings import gram_set, number_signature
 from quillmill.functions.text import normalize_native, words_native
 from quillmill.session import cut
 
@@ -23,8 +23,7 @@ def exact_dedup(rows: DataFrame, text: str, order: str) -> DataFrame:
 
 def _gram_sets(rows: DataFrame, id_col: str, text: str, side: str) -> DataFrame:
     """(id, grams as 64-bit hashes) of rows that have words."""
-    hashed = F.transform(grams(F.col(text)), lambda g: F.xxhash64(g))
-    return rows.where(normalize_native(text) != "").select(F.col(id_col).alias(side), hashed.alias(f"g{side}")).distinct()
+    return rows.where(normalize_native(text) != "").select(F.col(id_col).alias(side), gram_set(F.col(text)).alias(f"g{side}")).distinct()
 
 
 def near_overlap(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, t: float = 0.92) -> DataFrame:

@@ -31,7 +31,7 @@ def normalize_docs(spark: SparkSession, d: str) -> DataFrame:
 def shingles(spark: SparkSession, d: str) -> DataFrame:
     """B2, one row a distinct gram."""
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.explode(S.grams(F.col("text"))).alias("gram"))
+    return docs.select("doc_id", F.explode(S.grams(F.col("text"))).alias("gram")).distinct()
 
 
 @core.query("tokens", f"select doc_id, cast(len({toks('text')}) as bigint) as n, array_to_string({toks('text')}, ' ') as tokens from documents where text is not null")
