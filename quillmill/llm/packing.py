@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.ranks import rank_within
+from quillmill.operators.ranking import rank_within
 
 RUNS = "size bigint, first_rank bigint, n bigint, first_container bigint"
 BUCKET_ROWS = 50_000  #: aimed number of items in a bucket when ranking inside a length
@@ -90,7 +90,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     planned = spark.createDataFrame(runs, RUNS) if runs else spark.createDataFrame([], RUNS)
     buckets = max(1, max(histogram.values(), default=0) // BUCKET_ROWS)
     keyed = parts.withColumn("__o", F.struct(id_col, "piece"))
-    ranked = rank_within(keyed, "size", "__o", buckets, "rank").drop("__o")
+    ranked = rank_within(keyed, "size", "__o", F.pmod(F.xxhash64("__o"), F.lit(buckets)).cast("int")).drop("__o")
     p = planned.withColumnRenamed("size", "__size")
     slot = ranked.join(p, (ranked["size"] == p["__size"]) & (ranked["rank"] >= p["first_rank"]) & (ranked["rank"] < p["first_rank"] + p["n"]))
     container = F.col("first_container") + F.col("rank") - F.col("first_rank")

@@ -8,7 +8,9 @@ within their size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import forests, merge_forests
-from quillmill.llm.ranks import rank_within
+from quillmill.operators.ranking import rank_within
 from quillmill.session import cut
 
 _EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -82,32 +84,32 @@ def greedy_counts(histogram: dict[int, int], shares: dict[str, float]) -> list[t
     over the splits' deficits d, which a bisection finds without walking over the groups.
     """
     names = sorted(shares, key=lambda s: (-shares[s], s))
-    if not names or sum(shares.values()) <= 0:
-        raise ValueError("there must be a split with a positive share")
+    exact = {s: Fraction(str(x)) for s, x in shares.items()}
+    if not names or min(exact.values()) < 0 or not sum(exact.values()):
+        raise ValueError("the shares must not be negative, and one of them positive")
     total = sum(s * c for s, c in histogram.items())
-    deficit = [shares[s] / sum(shares.values()) * total for s in names]
+    targets = [exact[s] / sum(exact.values()) * total for s in names]
+    unit = math.lcm(*(t.denominator for t in targets))  # whole numbers from here on, so ties are ties
+    deficit = [int(t * unit) for t in targets]
     out = []
     for size in sorted(histogram, reverse=True):
-        left = histogram[size]
-        taken = [0] * len(names)
-        lo, hi = min(deficit) - size * (left + 1), max(deficit)
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            n = [max(0, int((d - mid) // size) + 1) if d > mid else 0 for d in deficit]
-            if sum(n) <= left:
-                hi, taken = mid, n
-            else:
-                lo = mid
-        left -= sum(taken)
-        for _ in range(left):
-            k = max(range(len(names)), key=lambda k: (deficit[k] - size * taken[k], -k))
+        left, step = histogram[size], size * unit
+        # the smallest bound above which there are no more values than groups left
+        lo, hi = min(deficit) - step * (left + 1), max(deficit)
+        above = lambda x: [(d - x - 1) // step + 1 if d > x else 0 for d in deficit]  # noqa: B023, E731
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if sum(above(mid)) <= left else (mid + 1, hi)
+        taken = above(hi)
+        for _ in range(left - sum(taken)):  # equal values, fewer than splits
+            k = max(range(len(names)), key=lambda k: (deficit[k] - step * taken[k], -k))
             taken[k] += 1
         rank = 0
         for k, n in enumerate(taken):
             if n:
                 out.append((size, rank, n, names[k]))
                 rank += n
-            deficit[k] -= size * n
+            deficit[k] -= step * n
     return out
 
 
@@ -123,7 +125,7 @@ def assign(members: DataFrame, id_col: str, shares: dict[str, float]) -> DataFra
     runs = greedy_counts(histogram, shares) if histogram else []
     plan = spark.createDataFrame(runs, "__size bigint, first_rank bigint, n bigint, split string")
     buckets = max(1, max(histogram.values(), default=0) // BUCKET_ROWS)
-    ranked = rank_within(sizes, "size", "group_id", buckets)
+    ranked = rank_within(sizes, "size", "group_id", F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("int"))
     fits = (ranked["size"] == plan["__size"]) & (ranked["rank"] >= plan["first_rank"]) & (ranked["rank"] < plan["first_rank"] + plan["n"])
     placed = ranked.join(plan, fits).select(F.col("group_id").alias("__g"), "split")
     return members.join(placed, F.col("group_id") == F.col("__g")).select(id_col, "split")
