@@ -52,10 +52,17 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
                 if not held[room]:
                     rooms.pop(i)
             else:
-                # new containers: as many as the items still left need, all filled alike
-                room, n = capacity, -(-left // (capacity // size))
-                first = used
-                used += n
+                # new containers, filled one after the other: full ones alike, the last with the rest
+                each = capacity // size
+                full, rest = divmod(left, each)
+                for first, n, items in ((used, full, each), (used + full, 1, rest)):
+                    if n and items:
+                        for _ in range(items):
+                            runs.append((size, rank, n, first))
+                            rank += n
+                        put(capacity - items * size, first, n)
+                used += full + (rest > 0)
+                break
             take = min(n, left)
             runs.append((size, rank, take, first))
             rank, left = rank + take, left - take

@@ -109,6 +109,8 @@ def _listed(unit: str) -> bool:
     per_item = n / max(1, len(items))
     if len(items) >= 4 and per_item <= 4 and small <= 0.12 * n:
         return True  # enumerated terms
+    if n >= 12 and small <= 0.35 * n and repeated >= 0.6 and autocorrelation(terms) >= 0.5:
+        return True  # a phrase at one and the same lag, whatever its words
     if n >= 6 and small <= 0.12 * n and (repeated >= 0.3 or autocorrelation(terms) >= 0.3) and even >= 0.4:
         return True  # the same few terms again and again
     return n >= 12 and small <= 0.04 * n and not _CLOSED.search(unit)  # distinct nouns, no sentence
