@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -46,16 +48,56 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Tables written by cut: application, weak reference to the file index that all plans on it share, folder.
+_written: list[tuple[str, object, str]] = []
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back.
 
     The result no longer depends on the plan or on any executor that made it; compressed columnar
-    files take a fraction of the space a checkpoint of rows would.
+    files take a fraction of the space a checkpoint of rows would. The table is deleted once no plan
+    refers to it any more (see :func:`sweep`), at the latest at the end of the program.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = os.path.join(shared_dir(spark), "quillmill", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _written.append((spark.sparkContext.applicationId, spark.sparkContext._jvm.java.lang.ref.WeakReference(index), path))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession, collect: bool = False) -> int:
+    """Delete the tables of :func:`cut` that nothing refers to any more; how many are left.
+
+    A table goes only when the JVM has collected the file index that every plan on it shares, so a DataFrame that
+    is still held, or derived from one, keeps its files. With ``collect`` both garbage collectors run first.
+    """
+    if collect:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    app = spark.sparkContext.applicationId
+    for entry in [w for w in _written if w[0] == app and w[1].get() is None]:
+        _written.remove(entry)
+        _delete(spark, entry[2])
+    return sum(w[0] == app for w in _written)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for app, _, path in _written:
+        if app == spark.sparkContext.applicationId:
+            _delete(spark, path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
