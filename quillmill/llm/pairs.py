@@ -79,10 +79,20 @@ _ONLY_VALUE = re.compile(
     r"[\W\d]*|(?i:yes|no|true|false|choice_\d|none|ja|nein|oui|non|sí)\W*|\(?[a-zA-Z]\)?\W*"
     r"|\W*[A-Z][\w'-]*(?:\s+(?:[A-Z][\w'-]*|\d+|of|and|the|in))*(?:,?\s*\d+)?\W*|[$€]?[\d.,:/ %-]+\s*[A-Za-zµ°%/²³^\d]{0,8}\W*"
 )
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|\\boxed|```\w*")
+_INK = re.compile(r"[^\W_]")
 _FENCE = re.compile(r"```")
 _LANGUAGES = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SCRIPTS = (("zh", "\u3400", "\u9fff"), ("ja", "\u3040", "\u30ff"), ("ko", "\uac00", "\ud7af"), ("ru", "\u0400", "\u04ff"), ("el", "\u0370", "\u03ff"), ("ar", "\u0590", "\u06ff"), ("hi", "\u0900", "\u0dff"))
+_SCRIPTS = tuple(
+    (k, re.compile(f"[{lo}-{hi}]"))
+    for k, lo, hi in (("zh", "\u3400", "\u9fff"), ("ja", "\u3040", "\u30ff"), ("ko", "\uac00", "\ud7af"), ("ru", "\u0400", "\u04ff"), ("el", "\u0370", "\u03ff"), ("ar", "\u0590", "\u06ff"), ("hi", "\u0900", "\u0dff"))
+)
+_WIDE = re.compile("[\u0370-\U0010ffff]")
+_TELLS: dict[str, list[str]] = {}
+for _language, _words in _LANGUAGES.items():
+    for _word in _words:
+        _TELLS.setdefault(_word, []).append(_language)
 N_FEATURES = 18
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'll|i'd|me|my|mine|we|us|our|ich|mir|mich|je|j'ai|moi|me|yo|mi|io)\b")
 
@@ -91,7 +101,9 @@ def is_empty(reply: str | None) -> bool:
     """Nothing but white space, invisible characters, punctuation, markup, or a bare label or wrapper."""
     if reply is None:
         return True
-    t = re.sub(r"</?[A-Za-z][^<>]*>|\\boxed|```\w*", " ", reply)
+    t = _MARKUP.sub(" ", reply)
+    if len(reply) >= 60:  # too long for a bare label
+        return not _INK.search(t)
     words = " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split())
     return not words or bool(_BARE.fullmatch(words)) and len(t.strip()) < 60 and not re.search(r"\w+\W*[:=]\s*\w", t) and _label_only(t, words)
 
@@ -103,13 +115,17 @@ def _label_only(text: str, words: str) -> bool:
 
 def language(text: str) -> tuple[str | None, int]:
     """The likely language of a text and the number of words or letters that tell it; (None, 0) if nothing does."""
-    for name, lo, hi in _SCRIPTS:
-        n = sum(lo <= c <= hi for c in text)
-        if n >= 4 and n >= 0.3 * len(_LETTERS.sub(lambda m: "x" * len(m.group()), text)):
-            return name, n
-    words = [w.lower() for w in _LETTERS.findall(text)]
-    hits = {k: sum(w in v for w in words) for k, v in _LANGUAGES.items()}
-    best = max(hits, key=lambda k: hits[k])
+    if not text.isascii() and len(_WIDE.findall(text)) >= 4:
+        letters = sum(map(len, _LETTERS.findall(text)))
+        for name, script in _SCRIPTS:
+            n = len(script.findall(text))
+            if n >= 4 and n >= 0.3 * letters:
+                return name, n
+    hits = dict.fromkeys(_LANGUAGES, 0)
+    for w in _LETTERS.findall(text.lower()):
+        for k in _TELLS.get(w, ()):
+            hits[k] += 1
+    best = max(hits, key=hits.__getitem__)
     return (best, hits[best]) if hits[best] else (None, 0)
 
 
@@ -141,7 +157,7 @@ class Pair:
         abroad = bool(whole and self.language and whole != self.language and told >= 3 and told > 1.5 * at_home)
         n = len(self.clauses)
         self.x = np.zeros((n, N_FEATURES))
-        self.weight = np.array([max(len(w), len(c.strip()) // 3 if language(c)[0] in ("zh", "ja") else 0) for w, c in zip(self.words, self.clauses)], dtype=float)
+        self.weight = np.array([max(len(w), len(c.strip()) // 3 if not c.isascii() and language(c)[0] in ("zh", "ja") else 0) for w, c in zip(self.words, self.clauses)], dtype=float)
         self.result = np.zeros(n, dtype=bool)
         for i, (c, w) in enumerate(zip(self.clauses, self.words)):
             low = c.lower().replace("’", "'")
@@ -190,7 +206,7 @@ class Pair:
 
     def _home(self, text: str) -> int:
         known = _LANGUAGES.get(self.language, frozenset())
-        return sum(x.lower() in known for x in _LETTERS.findall(text)) if known else 0
+        return sum(map(known.__contains__, _LETTERS.findall(text.lower()))) if known else 0
 
     def plain_labels(self) -> np.ndarray:
         """Labels by the plain cases, for training."""
