@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -80,14 +81,19 @@ def sweep(spark: SparkSession, collect: bool = False) -> int:
     A table goes only when the JVM has collected the file index that every plan on it shares, so a DataFrame that
     is still held, or derived from one, keeps its files. With ``collect`` both garbage collectors run first.
     """
-    if collect:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     app = spark.sparkContext.applicationId
-    for entry in [w for w in _written if w[0] == app and w[1].get() is None]:
-        _written.remove(entry)
-        _delete(spark, entry[2])
-    return sum(w[0] == app for w in _written)
+    for attempt in range(4 if collect else 1):
+        if collect:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+        for entry in [w for w in _written if w[0] == app and w[1].get() is None]:
+            _written.remove(entry)
+            _delete(spark, entry[2])
+        left = sum(w[0] == app for w in _written)
+        if not left or attempt == 3 or not collect:
+            break
+        time.sleep(0.3)  # the collectors work in the background
+    return left
 
 
 @atexit.register
