@@ -177,7 +177,8 @@ class Pair:
             value = self._value(c, w) and (n == 1 or self.clauses[i - 1].rstrip(" *_`\n").endswith((":", "：")))
             if value and n > 1 and last:
                 self.result[i] = True
-            closed = bool(_CLOSED.search(c)) or self.result[i] or value
+            # a reply that ends in a colon announces what it doesn't give
+            closed = bool(_CLOSED.search(c)) and not (last and c.rstrip(" *_`").endswith((":", "："))) or self.result[i] or value
             open_code = c.startswith("```") and not (len(c) > 5 and c.rstrip().endswith("```"))
             self.x[i] = (
                 1.0,
