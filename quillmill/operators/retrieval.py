@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.strings import tokens
 
 DENSE_BLOCK = 4096  #: queries scored in one pass over the corpus
+SCORED_DOCS = 500  #: documents scored at once in a worker
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,6 +62,81 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text:
     return counts.join(wanted, "term").groupBy("item_id", "query_id").agg(F.sum(w).alias("score")).select("query_id", "item_id", "score")
 
 
+def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int, k1: float = 1.5, b: float = 0.75, block: int = DENSE_BLOCK) -> DataFrame:
+    """The result of top_k(bm25_scores(...), k) for a small set of queries against any number of documents.
+
+    A block of at most ``block`` queries is broadcast as an index from term to queries; documents are scored where
+    they lie, and only the k best of a partition leave it, so neither terms nor pairs are shuffled. Document
+    frequencies are counted for the block's terms alone, one partial count a partition. For many queries against
+    a small catalog :func:`bm25_scores` is the better plan.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spark = docs.sparkSession
+    words = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("item_id"), tokens(F.col(doc_text)).alias("t"))
+    kind, qkind = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    stats = document_stats(docs, doc_text).first()
+    n_docs, avgdl = stats["n_docs"], stats["avgdl"] or 1.0
+    parts = max(1, -(-queries.count() // block))
+    found = None
+    for part in range(parts):
+        mine = queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part).select(F.col(query_id).alias("q"), tokens(F.col(query_text)).alias("t"))
+        rows = mine.where("t is not null").toArrow()
+        ids = rows.column("q").to_pylist()
+        index: dict[str, list[int]] = {}
+        for i, terms in enumerate(rows.column("t").to_pylist()):
+            for term in set(terms):
+                index.setdefault(term, []).append(i)
+        vocabulary = spark.sparkContext.broadcast(frozenset(index))
+
+        def count(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
+            df: Counter[str] = Counter()
+            for batch in batches:
+                for terms in batch.column(0).to_pylist():
+                    df.update(vocabulary.value.intersection(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
+
+        # as many rows as the block of queries has terms
+        dfs = {r["term"]: r["df"] for r in words.select("t").mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        idf = {w: math.log((n_docs - n + 0.5) / (n + 0.5)) for w, n in dfs.items()}
+        weights = {w: (np.array(index[w]), x) for w, x in idf.items() if x > 0}
+        shared = spark.sparkContext.broadcast((ids, weights))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, known = shared.value
+            kept_s = np.full((len(names), 0), -np.inf)
+            kept_i: np.ndarray | None = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, SCORED_DOCS):
+                    piece = batch.slice(at, SCORED_DOCS)
+                    s = np.zeros((len(names), piece.num_rows))
+                    for j, terms in enumerate(piece.column(1).to_pylist()):
+                        norm = k1 * (1 - b + b * len(terms) / avgdl)
+                        for term, tf in Counter(terms).items():
+                            hit = known.get(term)
+                            if hit is not None:
+                                s[hit[0], j] += hit[1] * tf * (k1 + 1) / (tf + norm)
+                    s[s <= 0] = -np.inf
+                    own = np.broadcast_to(np.asarray(piece.column(0).to_pylist()), s.shape)
+                    kept_s = np.concatenate([kept_s, s], axis=1)
+                    kept_i = own if kept_i is None else np.concatenate([kept_i, own], axis=1)
+                    order = np.lexsort((kept_i, -np.round(kept_s, 9)), axis=1)[:, :k]
+                    kept_s, kept_i = np.take_along_axis(kept_s, order, 1), np.take_along_axis(kept_i, order, 1)
+            if kept_i is not None:
+                good = np.isfinite(kept_s)
+                q = [names[i] for i in np.repeat(np.arange(len(names)), good.sum(1))]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(kept_i[good].tolist()), pa.array(kept_s[good])], names=["query_id", "item_id", "score"]) if q else _no_rows(qkind, kind)
+
+        one = words.mapInArrow(run, f"query_id {qkind}, item_id {kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    return top_k(found, k)
+
+
+def _no_rows(qkind: str, kind: str) -> pa.RecordBatch:
+    form = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([], form[qkind]), pa.array([], form[kind]), pa.array([], pa.float64())], names=["query_id", "item_id", "score"])
+
+
 def tfidf_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str) -> DataFrame:
     """(query_id, item_id, score): cosine of tf-idf vectors, idf = ln(N / (1 + df)) unclipped."""
     counts = term_counts(docs, doc_id, doc_text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import retrieval as R
 from quillmill.plans.registry import core
 from quillmill.plans.sqltext import toks
-from quillmill.session import table
+from quillmill.session import spread, table
 
 BENCH = "q as (select instance_id as query_id, question as text from bench_instance)"
 SKILLS = "d as (select skill_id as item_id, concat_ws(chr(10), nullif(name, ''), nullif(description, ''), nullif(content, '')) as text from skill_corpus)"
@@ -63,8 +63,8 @@ OUT = "select query_id, rank, item_id, round(score, 6) as score from"
 @core.query("bm25_topk", f"with {BENCH}, {CRAWL}, {counts_sql()}, {bm25_sql(10)} {OUT} bm25")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """J2 with F12: the test questions over the crawl."""
-    docs = table(spark, d, "documents")
-    return _rounded(R.top_k(R.bm25_scores(_bench(spark, d), docs, "query_id", "text", "doc_id", "text"), 10))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return _rounded(R.bm25_top_k(_bench(spark, d), docs, "query_id", "text", "doc_id", "text", 10))
 
 
 @core.query("tfidf_topk", f"with {BENCH}, {SKILLS}, {counts_sql()}, {tfidf_sql(10)} {OUT} tfidf")

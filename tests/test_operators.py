@@ -51,6 +51,20 @@ def test_bm25_equals_formula(spark):
     assert R.bm25_scores(q, d.limit(0), "qid", "text", "did", "text").count() == 0
 
 
+def test_blocks_equal_the_term_join(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words[: rng.randint(2, 60)]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randint(0, 30))) for i in range(300)] + [(900, None), (901, "")], "did bigint, text string").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", text(6)) for i in range(25)] + [("none", None), ("odd", "zzz")], "qid string, text string")
+    flat = lambda df: sorted((r["query_id"], r["rank"], r["item_id"], round(r["score"], 9)) for r in df.collect())
+    want = flat(R.top_k(R.bm25_scores(queries, docs, "qid", "text", "did", "text"), 5))
+    for block in (4096, 7):
+        assert flat(R.bm25_top_k(queries, docs, "qid", "text", "did", "text", 5, block=block)) == want and want
+    assert R.bm25_top_k(queries, docs.limit(0), "qid", "text", "did", "text", 5).count() == 0
+    assert R.bm25_top_k(queries.limit(0), docs, "qid", "text", "did", "text", 5).count() == 0
+
+
 def test_tfidf_equals_formula(spark):
     q, d = frames(spark)
     docs = {i: t.split() for i, t in DOCS if t is not None}
