@@ -57,7 +57,7 @@ def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @core.query(
     "retrieval_audit",
-    f"""with {BENCH}, {SKILLS}, {counts_sql()}, {bm25_sql(10)}, r as (select * from bm25 where query_id < 'theoremqa_test_05' and not (query_id like '%7' and rank > 6) union all select 'nobody', 'theoremqa_999', 1.0, 1),
+    f"""with {BENCH}, {SKILLS}, {counts_sql()}, {bm25_sql(10)}, r as (select * from bm25 where score >= 12 union all select 'nobody', 'theoremqa_999', 1.0, 1),
     per as (select query_id, count(*) as n, count(distinct item_id) as u from r group by 1)
     select 'retrieval_coverage_mismatch' as issue, query_id as id, 'missing' as detail from (select distinct query_id from q) where query_id not in (select query_id from r)
     union all select 'retrieval_coverage_mismatch', query_id, 'unexpected' from per where query_id not in (select query_id from q)
@@ -65,9 +65,9 @@ def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
     union all select distinct 'retrieved_skill_outside_corpus', query_id, item_id from r where item_id not in (select item_id from d)""",
 )
 def retrieval_audit(spark: SparkSession, d: str) -> DataFrame:
-    """H9, H10 on a ranking with planted faults."""
+    """H9, H10 on a ranking cut at a score and with a stray query."""
     r = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 10)
-    cut_short = r.where(F.col("query_id") < "theoremqa_test_05").where(~(F.col("query_id").endswith("7") & (F.col("rank") > 6))).select("query_id", "rank", "item_id")
+    cut_short = r.where("score >= 12").select("query_id", "rank", "item_id")
     stray = spark.createDataFrame([("nobody", 1, "theoremqa_999")], "query_id string, rank int, item_id string")
     return U.retrieval_audit(cut_short.unionByName(stray), _bench(spark, d), _skills(spark, d), 10)
 
@@ -128,15 +128,16 @@ def token_limits(spark: SparkSession, d: str) -> DataFrame:
 
 @core.query(
     "completion_skip",
-    """with j as (select skill_id as job_id, sha256(coalesce(content, '')) as content_hash from skill_corpus), f as (select skill_id as job_id, sha256(case when skill_id like '%3' then 'old' else coalesce(content, '') end) as content_hash from skill_corpus where skill_id not like '%7')
+    """with j as (select skill_id as job_id, sha256(coalesce(content, '')) as content_hash from skill_corpus), f as (select skill_id as job_id, sha256(case when description is null then 'old' else coalesce(content, '') end) as content_hash from skill_corpus where skill_id in (select unnest(gold_skill_ids) from synthetic_task))
     select j.job_id, j.content_hash, case when f.job_id is null then 'new' else 'stale' end as state from j left join f using (job_id) where f.job_id is null or f.content_hash <> j.content_hash""",
 )
 def completion_skip(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs to run again, some finished with other content, some never."""
+    """Skills with tasks are finished, those without a description with other content."""
     s = table(spark, d, "skill_corpus")
     content = F.coalesce("content", F.lit(""))
     jobs = s.select(F.col("skill_id").alias("job_id"), F.sha2(content, 256).alias("content_hash"))
-    done = s.where("skill_id not like '%7'").select(F.col("skill_id").alias("job_id"), F.sha2(F.when(F.col("skill_id").like("%3"), "old").otherwise(content), 256).alias("content_hash"))
+    used = table(spark, d, "synthetic_task").select(F.explode("gold_skill_ids").alias("skill_id")).distinct()
+    done = s.join(used, "skill_id", "left_semi").select(F.col("skill_id").alias("job_id"), F.sha2(F.when(F.col("description").isNull(), "old").otherwise(content), 256).alias("content_hash"))
     return O.open_jobs(jobs, done)
 
 

@@ -61,13 +61,14 @@ def near_pairs_prefix(spark: SparkSession, d: str) -> DataFrame:
     "decontaminate",
     f"""with {T}, {grams_sql('question', 'ga', 'bench_instance', 'instance_id')}, {grams_sql('question', 'gb', 't', 'instance_id')}, {overlap_sql('ga', 'gb', 0.5, 'o')},
     bad as (select b as instance_id from o union select instance_id from t where {norm('question')} in (select {norm('question')} from bench_instance where question is not null) and {norm('question')} <> ''
-      union select instance_id from t where instance_id like 'syn_0%')
+      union select instance_id from t where split is null)
     select instance_id, 'blocked' as state from bad union all select distinct instance_id, 'clean' from t where instance_id not in (select instance_id from bad)""",
 )
 def decontaminate(spark: SparkSession, d: str) -> DataFrame:
-    """Clean and blocked tasks; those whose id begins with 0 were blocked before."""
-    t = _tasks(spark, d).select("instance_id", "question").distinct()
-    clean, blocked = D.decontaminate(t, table(spark, d, "bench_instance"), t.where("instance_id like 'syn_0%'"), "instance_id", "question", "instance_id", "question", 0.5)
+    """Clean and blocked tasks; those without a split were blocked before."""
+    all_tasks = _tasks(spark, d)
+    t = all_tasks.select("instance_id", "question").distinct()
+    clean, blocked = D.decontaminate(t, table(spark, d, "bench_instance"), all_tasks.where("split is null"), "instance_id", "question", "instance_id", "question", 0.5)
     state = lambda df, s: df.select("instance_id", F.lit(s).alias("state")).distinct()
     return state(clean, "clean").unionByName(state(blocked, "blocked"))
 

@@ -46,11 +46,11 @@ def origin_inference(spark: SparkSession, d: str) -> DataFrame:
     return L.infer_origin(rows, table(spark, d, "skill_corpus"), "id", "own").select("id", F.array_join("origin", ",").alias("origin"))
 
 
-ADAPTERS = "ad as (select skill_id from skill_corpus where substr(skill_id, -1) in ('0', '2', '4', '6', '8'))"
+ADAPTERS = "ad as (select skill_id from skill_corpus where tools is not null)"
 
 
 def _adapters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "skill_corpus").where(F.substring("skill_id", -1, 1).isin("0", "2", "4", "6", "8"))
+    return table(spark, d, "skill_corpus").where("tools is not null")
 
 
 @core.query(
@@ -61,7 +61,7 @@ def _adapters(spark: SparkSession, d: str) -> DataFrame:
     select b.instance_id, a.adapter as gold_route, r.adapter as retrieved_route from bench_instance b left join a using (instance_id) left join r on r.instance_id = b.instance_id""",
 )
 def adapter_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Skills with an even id have an adapter."""
+    """Skills with tools have an adapter."""
     b, ad = table(spark, d, "bench_instance"), _adapters(spark, d)
     ranked = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 1)
     g = L.adapter_routes(b, "skill_annotations", ad, "instance_id").withColumnRenamed("adapter", "gold_route")
@@ -149,28 +149,26 @@ def strip_skill(spark: SparkSession, d: str) -> DataFrame:
 
 @core.query(
     "catalog_text",
-    """with s as (select regexp_replace(skill_id, '_[^_]*$', '') as dataset, skill_id, name, description, row_number() over (partition by regexp_replace(skill_id, '_[^_]*$', '') order by skill_id) as i from skill_corpus)
-    select dataset, string_agg('[' || i || '] ' || name || ': ' || coalesce(description, ''), chr(10) order by i) as lines from s where i <= 12 and name is not null group by 1""",
+    """with s as (select regexp_replace(skill_id, '_[^_]*$', '') as dataset, skill_id, name, description, row_number() over (partition by regexp_replace(skill_id, '_[^_]*$', '') order by skill_id) as i from skill_corpus where name is not null)
+    select dataset, string_agg('[' || i || '] ' || name || ': ' || coalesce(description, ''), chr(10) order by i) as lines from s where name is not null group by 1""",
 )
 def catalog_text(spark: SparkSession, d: str) -> DataFrame:
-    """The first dozen skills of each dataset as a catalog."""
-    from quillmill.operators.sampling import first_n
-
+    """The skills of each dataset, a fixed library, as a catalog."""
     s = table(spark, d, "skill_corpus").where("name is not null").withColumn("dataset", S.dataset_of(F.col("skill_id")))
-    l = first_n(s, F.col("dataset"), "skill_id", 12).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("skill_id", "name", "description"))).alias("l"))
+    l = s.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("skill_id", "name", "description"))).alias("l"))
     return l.select("dataset", S.catalog_lines(F.transform("l", lambda x: x["name"]), F.transform("l", lambda x: x["description"])).alias("lines"))
 
 
 @core.query(
     "coverage_diff",
-    """with e as (select distinct instance_id from example_instance), f as (select distinct instance_id from inference_record where instance_id is not null and record_id % 2 = 0),
+    """with e as (select distinct instance_id from example_instance), f as (select distinct instance_id from inference_record where instance_id is not null and error is null),
     m as (select instance_id from e except select instance_id from f), x as (select instance_id from f except select instance_id from e)
     select 'missing' as side, count(*) as n, (select string_agg(instance_id, ',' order by instance_id) from (select * from m order by instance_id limit 30)) as sample from m
     union all select 'extra', count(*), coalesce((select string_agg(instance_id, ',' order by instance_id) from (select * from x order by instance_id limit 30)), '') from x""",
 )
 def coverage_diff(spark: SparkSession, d: str) -> DataFrame:
-    """G3, G5."""
-    f = table(spark, d, "inference_record").where("instance_id is not null and record_id % 2 = 0")
+    """Examples against those with an error-free reply."""
+    f = table(spark, d, "inference_record").where("instance_id is not null and error is null")
     return L.difference(table(spark, d, "example_instance"), f, "instance_id")
 
 

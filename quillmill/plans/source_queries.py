@@ -67,11 +67,11 @@ def journal_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
 
 
-@core.query("corpus_dict", "with u as (select skill_id, name, 0 as o from skill_corpus union all select skill_id, 'Newer ' || name, 1 from skill_corpus where skill_id like '%1') select skill_id, max_by(name, o) as name from u group by 1")
+@core.query("corpus_dict", "with u as (select skill_id, name, 0 as o from skill_corpus union all select skill_id, 'Newer ' || name, 1 from skill_corpus where tools is not null) select skill_id, max_by(name, o) as name from u group by 1")
 def corpus_dict(spark: SparkSession, d: str) -> DataFrame:
     """The last of repeated rows wins."""
     s = table(spark, d, "skill_corpus").select("skill_id", "name", F.lit(0).alias("o"))
-    newer = s.where("skill_id like '%1'").select("skill_id", F.concat(F.lit("Newer "), "name").alias("name"), F.lit(1).alias("o"))
+    newer = table(spark, d, "skill_corpus").where("tools is not null").select("skill_id", F.concat(F.lit("Newer "), "name").alias("name"), F.lit(1).alias("o"))
     return A.last_of(s.unionByName(newer), "skill_id", "o").select("skill_id", "name")
 
 

@@ -113,16 +113,16 @@ def tool_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, a, s.act(a)) for i, a in enumerate(acts)], "step int, action string, observation string")
 
 
-# The graph: customers are linked if they ordered the same part in orders of the same priority class.
+# The graph: customers are linked with the parts that they ordered.
 VERT = "v as (select 'c' || c_custkey as id, c_name as name, c_mktsegment as segment from customer union all select 'p' || p_partkey, p_name || ' ' || p_partkey, p_brand from part)"
-EDGE = "ed as (select 'c' || o_custkey as src, 'p' || l_partkey as dst, list_sort(list(distinct 'c' || o_custkey)) as items from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'P' group by 1, 2)"
+EDGE = "ed as (select 'c' || o_custkey as src, 'p' || l_partkey as dst, list_sort(list(distinct 'c' || o_custkey)) as items from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)"
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, p = table(spark, d, "customer"), table(spark, d, "part")
     v = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     v = v.unionByName(p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("segment")))
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     e = o.groupBy(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(F.array_sort(F.collect_set(F.concat(F.lit("c"), "o_custkey"))).alias("items"))
     return v, e
 
