@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillmill.plans.registry import Query, core
 
-_MODULES: tuple[str, ...] = ("text_queries", "retrieval_queries", "sampling_queries", "dedup_queries", "pool_queries", "scoring_queries", "tool_queries", "audit_queries", "source_queries")
+_MODULES: tuple[str, ...] = ("text_queries", "retrieval_queries", "sampling_queries", "dedup_queries", "pool_queries", "scoring_queries", "tool_queries", "audit_queries", "source_queries", "selection_queries")
 
 
 def _load() -> None:
