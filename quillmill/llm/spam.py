@@ -117,11 +117,15 @@ def _listed(unit: str) -> bool:
 
 
 def _sentence(unit: str) -> bool:
-    """A quick and safe yes for the usual sentence: enough function words, and no mark of links, tags or lists."""
+    """A quick yes for the usual sentence: enough function words, no mark of links, tags or lists, hardly a repeated term."""
     if _MARK.search(unit):
         return False
-    words = unit.lower().split()
-    return len(words) >= 5 and sum(map(FUNCTION_WORDS.__contains__, words)) > 0.2 * len(words) and len(words) * 9 > len(unit)
+    low = unit.lower()
+    words = low.split()
+    if len(words) < 5 or sum(map(FUNCTION_WORDS.__contains__, words)) <= 0.2 * len(words) or len(words) * 9 <= len(unit):
+        return False
+    terms = _WORD.findall(low)
+    return len(set(terms)) > 0.6 * len(terms)  # a repeated phrase is left to the analysis
 
 
 def _skeleton(a: list[str], b: list[str]) -> bool:

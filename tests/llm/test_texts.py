@@ -179,6 +179,12 @@ def test_not_stuffed(name):
     assert W.stuffing_share(CLEAN[name]) < W.SHARE
 
 
+@pytest.mark.parametrize("phrase", ["cheap flights to paris ", "hotel deals in rome ", "buy the red shoes "])
+def test_phrase_without_separators(phrase):
+    assert W.stuffing_share(phrase * 20) >= W.SHARE
+    assert W.stuffing_share(phrase * 20 + "\n" + PROSE * 40) < W.SHARE
+
+
 def test_recurrence():
     assert W.autocorrelation(list("abcabcabc")) == 1.0 and W.autocorrelation(list("abcdefgh")) == 0.0
     assert W.gap_regularity(list("abab")) == (0.5, 1.0) and W.gap_regularity([]) == (0.0, 0.0)
