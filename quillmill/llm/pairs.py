@@ -80,7 +80,8 @@ _ONLY_VALUE = re.compile(
     r"|\W*[A-Z][\w'-]*(?:\s+(?:[A-Z][\w'-]*|\d+|of|and|the|in))*(?:,?\s*\d+)?\W*|[$€]?[\d.,:/ %-]+\s*[A-Za-zµ°%/²³^\d]{0,8}\W*"
 )
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|\\boxed|```\w*")
-_INK = re.compile(r"[^\W_]")
+_INKS = re.compile(r"[^\W_]+")
+_LONG = re.compile(r"(?:[\W_]*+[^\W_]){60}")
 _FENCE = re.compile(r"```")
 _LANGUAGES = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -102,10 +103,14 @@ def is_empty(reply: str | None) -> bool:
     if reply is None:
         return True
     t = _MARKUP.sub(" ", reply)
-    if len(reply) >= 60:  # too long for a bare label
-        return not _INK.search(t)
-    words = " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split())
-    return not words or bool(_BARE.fullmatch(words)) and len(t.strip()) < 60 and not re.search(r"\w+\W*[:=]\s*\w", t) and _label_only(t, words)
+    if _LONG.match(t):  # too much text for a bare label
+        return False
+    words = " ".join(_INKS.findall(t))
+    if not words:
+        return True
+    if not _BARE.fullmatch(words) or sum(unicodedata.category(c)[0] not in "CZ" for c in t) >= 60:
+        return False
+    return not re.search(r"\w+\W*[:=]\s*\w", t) and _label_only(t, words)
 
 
 def _label_only(text: str, words: str) -> bool:

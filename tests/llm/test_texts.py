@@ -224,6 +224,13 @@ def made(seed, n):
     return out
 
 
+def test_long_labels_are_empty():
+    for r in ("**Final answer:**" + "\n" * 50, "Answer:" + " " * 60, "<response>\n <answer>\n Final answer:\n </answer>\n</response>", "Answer:" + "\u200b" * 60, "<p>" * 30, " " * 90):
+        assert P.is_empty(r), r
+    for r in ("Answer:" + " " * 60 + "7", "<response>\n <answer>\n Final answer: 12\n </answer>\n</response>", "word " * 20000, "x" + " " * 80, "- " * 60 + "result"):
+        assert not P.is_empty(r), r
+
+
 def test_pairs_held_out(spark):
     model = P.train([(r, q) for r, q, _ in made(1, 60)])
     test = made(2, 40)
