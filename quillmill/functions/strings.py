@@ -45,14 +45,31 @@ def grams(c: Column) -> Column:
     A text without words has the single gram ''; null has null. Sets of them are best made of their hashes, since
     distinct strings of an array are found by comparing all with all.
     """
-    words = words_native(c)
+    return F.when(c.isNull(), None).otherwise(_grams_of(words_native(c)))
+
+
+def _grams_of(words: Column) -> Column:
     both = lambda w: F.when(F.size(w) >= GRAM_WORDS, word_grams(w)).otherwise(let(F.array_join(w, ""), _char_grams))
-    return F.when(c.isNull(), None).otherwise(let(words, both))
+    return let(words, both)
+
+
+def normalized_grams(n: Column) -> Column:
+    """The grams of a text that is normalised already, in whichever form."""
+    return F.when(n.isNull(), None).otherwise(_grams_of(F.filter(F.split(n, " "), lambda w: w != "")))
 
 
 def gram_set(c: Column) -> Column:
     """The distinct grams as 64-bit hashes."""
-    return F.array_distinct(F.transform(grams(c), lambda g: F.xxhash64(g)))
+    return _hashed(grams(c))
+
+
+def normalized_gram_set(n: Column) -> Column:
+    """The result of :func:`gram_set` for a text that is normalised already."""
+    return _hashed(normalized_grams(n))
+
+
+def _hashed(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))
 
 
 def tokens(c: Column) -> Column:

@@ -44,6 +44,13 @@ def normalize_native(c: Column | str) -> Column:
     return F.array_join(words_native(c), " ")
 
 
+def normalize_exact(c: Column | str) -> Column:
+    """The result of :func:`normalize`; ASCII texts stay in the JVM, only the others go to Python."""
+    c = _c(c)
+    ascii_only = F.length(c) == F.octet_length(c)
+    return F.when(ascii_only, normalize_native(c)).otherwise(normalize(F.when(~ascii_only, c)))
+
+
 def words_native(c: Column | str) -> Column:
     """The words of :func:`normalize_native` as an array."""
     return F.regexp_extract_all(F.replace(F.lower(_c(c)), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

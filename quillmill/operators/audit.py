@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.strings import fingerprint
-from quillmill.functions.text import normalize_native
+from quillmill.functions.text import normalize_exact
 
 
 def _issue(df: DataFrame, name: str, ident: Column, detail: Column | str = "") -> DataFrame:
@@ -29,14 +30,14 @@ def universe(skills: DataFrame, expected: dict[str, int]) -> DataFrame:
     return j.withColumn("valid", (F.col("expected") == F.col("found")) & (F.col("found") == F.col("distinct_found")))
 
 
-def leakage(rows: DataFrame, skills: DataFrame, id_col: str, text: str, gold: str, overlap: DataFrame, negatives_of: str | None = None) -> DataFrame:
+def leakage(rows: DataFrame, skills: DataFrame, id_col: str, text: str, gold: str, overlap: DataFrame, negatives_of: str | None = None, norm: Callable[[Column | str], Column] = normalize_exact) -> DataFrame:
     """(issue, id, detail) of training rows (H8).
 
     missing_question, missing_or_unknown_source_skills, duplicate_id, duplicate_normalized_question,
     exact_test_question_overlap, near_test_question_overlap (from ``overlap``: (id, kind)), gold_skill_name_in_query,
     empty_training_input and, for anchors, anchor_is_not_negative: the row's gold holds the skill it is a negative of.
     """
-    n = normalize_native(text)
+    n = norm(text)
     ident = F.col(id_col)
     known = skills.select(F.col("skill_id").alias("__s"))
     parts = [_issue(rows.where(F.coalesce(n, F.lit("")) == ""), "missing_question", ident)]
@@ -47,7 +48,7 @@ def leakage(rows: DataFrame, skills: DataFrame, id_col: str, text: str, gold: st
     parts.append(_issue(same, "duplicate_normalized_question", F.col("i"), F.col("c")))
     for kind in ("exact", "near"):
         parts.append(_issue(overlap.where(F.col("kind") == kind), f"{kind}_test_question_overlap", F.col(id_col)))
-    named = rows.select(ident.alias("i"), n.alias("q"), F.explode(gold).alias("skill_id")).join(skills.select("skill_id", normalize_native("name").alias("nm")).where("nm <> ''"), "skill_id")
+    named = rows.select(ident.alias("i"), n.alias("q"), F.explode(gold).alias("skill_id")).join(skills.select("skill_id", norm("name").alias("nm")).where("nm <> ''"), "skill_id")
     parts.append(_issue(named.where(F.contains("q", "nm")).select("i", "skill_id").distinct(), "gold_skill_name_in_query", F.col("i"), F.col("skill_id")))
     if negatives_of:
         parts.append(_issue(rows.where(F.array_contains(F.coalesce(gold, F.array().cast("array<string>")), F.col(negatives_of))), "anchor_is_not_negative", ident, F.col(negatives_of)))

@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.strings import gram_set, number_signature
-from quillmill.functions.text import normalize_native, words_native
+from quillmill.functions.strings import normalized_gram_set, number_signature
+from quillmill.functions.text import normalize_exact
 from quillmill.session import cut
 
+#: The normalisation that texts compare in: the exact one, or the JVM-side form for text that is in NFKC form already.
+Norm = Callable[[Column | str], Column]
 
-def exact_dedup(rows: DataFrame, text: str, order: str) -> DataFrame:
+
+def exact_dedup(rows: DataFrame, text: str, order: str, norm: Norm = normalize_exact) -> DataFrame:
     """The first row by ``order`` of every normalised text; rows without words are dropped (H1)."""
-    n = rows.withColumn("__n", normalize_native(text)).where("__n <> ''")
+    n = rows.withColumn("__n", norm(text)).where("__n <> ''")
     w = Window.partitionBy("__n").orderBy(order)
     return n.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__n", "__r")
 
 
-def _gram_sets(rows: DataFrame, id_col: str, text: str, side: str) -> DataFrame:
+def _gram_sets(rows: DataFrame, id_col: str, text: str, side: str, norm: Norm = normalize_exact) -> DataFrame:
     """(id, grams as 64-bit hashes) of rows that have words."""
-    return rows.where(normalize_native(text) != "").select(F.col(id_col).alias(side), gram_set(F.col(text)).alias(f"g{side}")).distinct()
+    n = rows.select(F.col(id_col).alias(side), norm(text).alias("__n")).where("__n <> ''")
+    return n.select(side, normalized_gram_set(F.col("__n")).alias(f"g{side}")).distinct()
 
 
-def near_overlap(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, t: float = 0.92) -> DataFrame:
+def near_overlap(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, t: float = 0.92, norm: Norm = normalize_exact) -> DataFrame:
     """(a, b, similarity): pairs of a query and a document with Jaccard similarity of their grams of at least t.
 
     Counts shared grams by an equi-join on the gram (H3, E6). The queries are a test set; a gram that many of
     both sides share makes the join large, for which :func:`near_overlap_prefix` is meant.
     """
-    a, b = _gram_sets(queries, query_id, query_text, "a"), _gram_sets(corpus, doc_id, doc_text, "b")
+    a, b = _gram_sets(queries, query_id, query_text, "a", norm), _gram_sets(corpus, doc_id, doc_text, "b", norm)
     left = a.select("a", F.size("ga").alias("na"), F.explode("ga").alias("g"))
     right = b.select("b", F.size("gb").alias("nb"), F.explode("gb").alias("h"))
     fits = (F.col("g") == F.col("h")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - F.lit(1e-9))
@@ -41,13 +45,13 @@ def near_overlap(queries: DataFrame, corpus: DataFrame, query_id: str, query_tex
     return both.select("a", "b", s.alias("similarity")).where(F.col("similarity") >= F.lit(t) - 1e-12)
 
 
-def near_overlap_prefix(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, t: float = 0.92) -> DataFrame:
+def near_overlap_prefix(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, t: float = 0.92, norm: Norm = normalize_exact) -> DataFrame:
     """The result of :func:`near_overlap` by prefix filtering (H4): only the rarest grams are joined.
 
     Of n grams, ordered from rare to common in both sides together, any partner of similarity t shares one of the
     first n - ceil(t n) + 1; candidates are then verified on their whole sets. Nothing is lost.
     """
-    a, b = cut(_gram_sets(queries, query_id, query_text, "a"), "grams-a"), cut(_gram_sets(corpus, doc_id, doc_text, "b"), "grams-b")
+    a, b = cut(_gram_sets(queries, query_id, query_text, "a", norm), "grams-a"), cut(_gram_sets(corpus, doc_id, doc_text, "b", norm), "grams-b")
     ea, eb = a.select("a", F.size("ga").alias("n"), F.explode("ga").alias("g")), b.select("b", F.size("gb").alias("n"), F.explode("gb").alias("g"))
     freq = ea.select("g").unionByName(eb.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
 
@@ -65,48 +69,48 @@ def near_overlap_prefix(queries: DataFrame, corpus: DataFrame, query_id: str, qu
     return full.select("a", "b", s.alias("similarity")).where(F.col("similarity") >= F.lit(t) - 1e-12)
 
 
-def overlapping(rows: DataFrame, tests: DataFrame, id_col: str, text: str, test_id: str, test_text: str, t: float = 0.92) -> DataFrame:
+def overlapping(rows: DataFrame, tests: DataFrame, id_col: str, text: str, test_id: str, test_text: str, t: float = 0.92, norm: Norm = normalize_exact) -> DataFrame:
     """(id, kind): rows whose text equals a test text after normalisation, or is near one (D3, H3)."""
-    norms = tests.select(normalize_native(test_text).alias("__n")).where("__n <> ''").distinct()
-    exact = rows.withColumn("__n", normalize_native(text)).join(norms, "__n", "left_semi").select(F.col(id_col), F.lit("exact").alias("kind"))
-    near = near_overlap(tests, rows, test_id, test_text, id_col, text, t).select(F.col("b").alias(id_col), F.lit("near").alias("kind"))
+    norms = tests.select(norm(test_text).alias("__n")).where("__n <> ''").distinct()
+    exact = rows.withColumn("__n", norm(text)).join(norms, "__n", "left_semi").select(F.col(id_col), F.lit("exact").alias("kind"))
+    near = near_overlap(tests, rows, test_id, test_text, id_col, text, t, norm).select(F.col("b").alias(id_col), F.lit("near").alias("kind"))
     return exact.unionByName(near).groupBy(id_col).agg(F.min("kind").alias("kind"))
 
 
-def decontaminate(rows: DataFrame, tests: DataFrame, blocked: DataFrame, id_col: str, text: str, test_id: str, test_text: str, t: float = 0.92) -> tuple[DataFrame, DataFrame]:
+def decontaminate(rows: DataFrame, tests: DataFrame, blocked: DataFrame, id_col: str, text: str, test_id: str, test_text: str, t: float = 0.92, norm: Norm = normalize_exact) -> tuple[DataFrame, DataFrame]:
     """(clean rows, blocklist): removes overlapping and formerly blocked rows; the blocklist only grows."""
-    bad = overlapping(rows, tests, id_col, text, test_id, test_text, t).select(id_col)
+    bad = overlapping(rows, tests, id_col, text, test_id, test_text, t, norm).select(id_col)
     blocklist = blocked.select(id_col).unionByName(bad).distinct()
     return rows.join(blocklist, id_col, "left_anti"), blocklist
 
 
-def decontaminate_until_clean(rows: DataFrame, tests: DataFrame, blocked: DataFrame, id_col: str, text: str, test_id: str, test_text: str, cycles: int, t: float = 0.92) -> tuple[DataFrame, DataFrame, bool]:
+def decontaminate_until_clean(rows: DataFrame, tests: DataFrame, blocked: DataFrame, id_col: str, text: str, test_id: str, test_text: str, cycles: int, t: float = 0.92, norm: Norm = normalize_exact) -> tuple[DataFrame, DataFrame, bool]:
     """Repeats :func:`decontaminate` until an audit finds nothing, ``cycles`` times at most (H6)."""
     for _ in range(cycles):
-        rows, blocked = decontaminate(rows, tests, blocked, id_col, text, test_id, test_text, t)
+        rows, blocked = decontaminate(rows, tests, blocked, id_col, text, test_id, test_text, t, norm)
         rows, blocked = cut(rows, "clean"), cut(blocked, "blocked")
-        if overlapping(rows, tests, id_col, text, test_id, test_text, t).isEmpty():
+        if overlapping(rows, tests, id_col, text, test_id, test_text, t, norm).isEmpty():
             return rows, blocked, True
     return rows, blocked, False
 
 
-def exclude_near(train: DataFrame, dev: DataFrame, id_col: str, text: str, t: float = 0.92) -> DataFrame:
+def exclude_near(train: DataFrame, dev: DataFrame, id_col: str, text: str, t: float = 0.92, norm: Norm = normalize_exact) -> DataFrame:
     """Training rows that are near no dev row (H7)."""
-    near = near_overlap_prefix(dev, train, id_col, text, id_col, text, t).select(F.col("b").alias(id_col)).distinct()
+    near = near_overlap_prefix(dev, train, id_col, text, id_col, text, t, norm).select(F.col("b").alias(id_col)).distinct()
     return train.join(near, id_col, "left_anti")
 
 
 MIN_WORDS = 12
 
 
-def near_edges(rows: DataFrame, key: str, id_col: str, text: str, threshold: float = 0.88) -> DataFrame:
+def near_edges(rows: DataFrame, key: str, id_col: str, text: str, threshold: float = 0.88, norm: Norm = normalize_exact) -> DataFrame:
     """(key, a, b): pairs a < b of one key whose wording is near and whose numbers are the same.
 
     Both have at least 12 words, the same number signature and a matching ratio of at least the threshold. Bounds
     on the ratio from the lengths and from the counts of letters are checked inside the join, so few pairs reach
     the matcher.
     """
-    n = rows.select(key, F.col(id_col).alias("__i"), normalize_native(text).alias("__n")).where(F.size(words_native("__n")) >= MIN_WORDS)
+    n = rows.select(key, F.col(id_col).alias("__i"), norm(text).alias("__n")).where(F.size(F.split("__n", " ")) >= MIN_WORDS)
     letters = F.array(*(F.length("__n") - F.length(F.replace(F.col("__n"), F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "))
     s = n.select(key, "__i", "__n", F.array_join(number_signature(F.col("__n")), " ").alias("__s"), letters.alias("__l"), F.length("__n").alias("__len"))
     a, b = s.alias("a"), s.alias("b")
@@ -130,15 +134,15 @@ def near_edges(rows: DataFrame, key: str, id_col: str, text: str, threshold: flo
     return pairs.mapInPandas(run, f"`{key}` {kind}, a {ikind}, b {ikind}")
 
 
-def near_admission(rows: DataFrame, key: str, id_col: str, text: str, threshold: float = 0.88, rounds: int = 50) -> DataFrame:
+def near_admission(rows: DataFrame, key: str, id_col: str, text: str, threshold: float = 0.88, rounds: int = 50, norm: Norm = normalize_exact) -> DataFrame:
     """Rows that a pass in id order admits: not empty, not equal and not near an *admitted* earlier row (H2).
 
     The pass is order-dependent, but a row's fate needs only its earlier neighbours: in every round rows whose
     earlier neighbours are all rejected are admitted, and their later neighbours rejected. As many rounds as the
     longest chain of dependent rows are needed; more than ``rounds`` is an error.
     """
-    first = cut(_first_of_key(rows, key, id_col, text), "first")
-    edges = cut(near_edges(first, key, id_col, text, threshold).select("a", "b"), "near-edges")
+    first = cut(_first_of_key(rows, key, id_col, text, norm), "first")
+    edges = cut(near_edges(first, key, id_col, text, threshold, norm).select("a", "b"), "near-edges")
     done_out = None
     open_edges = edges
     for _ in range(rounds):
@@ -158,18 +162,18 @@ def near_admission(rows: DataFrame, key: str, id_col: str, text: str, threshold:
     return first.join(done_out.select(F.col("b").alias("__g")), F.col(id_col) == F.col("__g"), "left_anti")
 
 
-def _first_of_key(rows: DataFrame, key: str, id_col: str, text: str) -> DataFrame:
-    n = rows.withColumn("__n", normalize_native(text)).where("__n <> ''")
+def _first_of_key(rows: DataFrame, key: str, id_col: str, text: str, norm: Norm = normalize_exact) -> DataFrame:
+    n = rows.withColumn("__n", norm(text)).where("__n <> ''")
     w = Window.partitionBy(key, "__n").orderBy(id_col)
     return n.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__n", "__r")
 
 
-def duplicate_issues(rows: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
+def duplicate_issues(rows: DataFrame, path: str, id_col: str, text: str, norm: Norm = normalize_exact) -> DataFrame:
     """(issue, path, id, detail): repeated ids and questions within and across files.
 
     The first row by (path, id) of an id or a normalised question is the reference for the others.
     """
-    n = rows.withColumn("__n", normalize_native(text))
+    n = rows.withColumn("__n", norm(text))
     by_id, by_text = Window.partitionBy(id_col).orderBy(path, "__n"), Window.partitionBy("__n").orderBy(path, id_col)
     marked = n.withColumn("__ri", F.row_number().over(by_id)).withColumn("__pi", F.first(path).over(by_id))
     marked = marked.withColumn("__rt", F.row_number().over(by_text)).withColumn("__pt", F.first(path).over(by_text))
@@ -179,8 +183,8 @@ def duplicate_issues(rows: DataFrame, path: str, id_col: str, text: str) -> Data
     return ids.unionByName(texts)
 
 
-def gold_name_in_query(rows: DataFrame, skills: DataFrame, id_col: str, text: str, gold: Column) -> DataFrame:
+def gold_name_in_query(rows: DataFrame, skills: DataFrame, id_col: str, text: str, gold: Column, norm: Norm = normalize_exact) -> DataFrame:
     """(id, skill_id): rows whose question contains the name of one of their gold skills."""
-    g = rows.select(F.col(id_col), normalize_native(text).alias("__q"), F.explode(gold).alias("skill_id"))
-    s = skills.select("skill_id", normalize_native("name").alias("__name")).where("__name <> ''")
+    g = rows.select(F.col(id_col), norm(text).alias("__q"), F.explode(gold).alias("skill_id"))
+    s = skills.select("skill_id", norm("name").alias("__name")).where("__name <> ''")
     return g.join(s, "skill_id").where(F.contains("__q", "__name")).select(id_col, "skill_id").distinct()

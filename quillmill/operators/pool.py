@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import normalize_native
+from quillmill.functions.text import normalize_exact
 
 
-def merge_questions(rows: DataFrame, id_col: str, text: str, lists: list[str]) -> DataFrame:
+def merge_questions(rows: DataFrame, id_col: str, text: str, lists: list[str], norm: Callable[[Column | str], Column] = normalize_exact) -> DataFrame:
     """One row a normalised question: first id and wording, sorted unions of the list columns, members (F2).
 
     Copies are folded in every task before they move, so a question that holds a third of the rows is no heavy
     group; rows without words are dropped.
     """
-    n = rows.withColumn("norm", normalize_native(text)).where("norm <> ''")
+    n = rows.withColumn("norm", norm(text)).where("norm <> ''")
     clean = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
     base = n.groupBy("norm").agg(F.min(id_col).alias(id_col), F.min_by(text, id_col).alias(text), F.countDistinct(id_col).alias("members"))
     for c in lists:

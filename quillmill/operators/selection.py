@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import normalize_native
+from quillmill.functions.text import normalize_exact
 
 PASSAGE_LEAST, PASSAGE_SHOWN, QUESTION_LEAST = 300, 1200, 10
 
 
-def exclude_held_out(candidates: DataFrame, held_out: DataFrame, text: str, held_text: str) -> DataFrame:
+def exclude_held_out(candidates: DataFrame, held_out: DataFrame, text: str, held_text: str, norm: Callable[[Column | str], Column] = normalize_exact) -> DataFrame:
     """Candidates whose normalised question is in no held-out slice; those without words are kept."""
-    norms = held_out.select(normalize_native(held_text).alias("__n")).where("__n <> ''").distinct()
-    tagged = candidates.withColumn("__n", F.coalesce(normalize_native(text), F.lit("")))
+    norms = held_out.select(norm(held_text).alias("__n")).where("__n <> ''").distinct()
+    tagged = candidates.withColumn("__n", F.coalesce(norm(text), F.lit("")))
     return tagged.join(norms, "__n", "left_anti").drop("__n")
 
 

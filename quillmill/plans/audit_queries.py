@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import normalize_native
 from quillmill.operators import audit as U
 from quillmill.operators import dedup as D
 from quillmill.operators import messages as M
 from quillmill.operators import retrieval as R
 from quillmill.operators import settings as O
+from quillmill.operators.dedup import Norm
 from quillmill.plans.dedup_queries import grams_sql, overlap_sql
 from quillmill.plans.registry import core
 from quillmill.plans.retrieval_queries import BENCH, SKILLS, _bench, _skills, bm25_sql, counts_sql
@@ -33,6 +35,7 @@ def universe_check(spark: SparkSession, d: str) -> DataFrame:
 T = "t as (select distinct instance_id, question, gold_skill_ids from synthetic_task)"
 
 
+@core.exact
 @core.query(
     "leakage_audit",
     f"""with {T}, n as (select *, coalesce({norm('question')}, '') as n from t), q as (select instance_id, question from t where question is not null),
@@ -48,11 +51,11 @@ T = "t as (select distinct instance_id, question, gold_skill_ids from synthetic_
     union all select distinct 'gold_skill_name_in_query', n.instance_id, s.skill_id from n, (select instance_id, unnest(gold_skill_ids) as g from t) e, skill_corpus s where e.instance_id = n.instance_id and s.skill_id = e.g and {norm('s.name')} <> '' and contains(n.n, {norm('s.name')})
     union all select 'empty_training_input', '', '' from (select count(*) as c from t) where c = 0""",
 )
-def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
+def leakage_audit(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """H8 over the generated tasks."""
     t = table(spark, d, "synthetic_task").select("instance_id", "question", "gold_skill_ids").distinct()
-    overlap = D.overlapping(t.where("question is not null"), table(spark, d, "bench_instance"), "instance_id", "question", "instance_id", "question", 0.5)
-    return U.leakage(t, table(spark, d, "skill_corpus"), "instance_id", "question", "gold_skill_ids", overlap)
+    overlap = D.overlapping(t.where("question is not null"), table(spark, d, "bench_instance"), "instance_id", "question", "instance_id", "question", 0.5, form)
+    return U.leakage(t, table(spark, d, "skill_corpus"), "instance_id", "question", "gold_skill_ids", overlap, norm=form)
 
 
 @core.query(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import normalize_native
 from quillmill.operators import dedup as D
 from quillmill.operators import journal as J
+from quillmill.operators.dedup import Norm
 from quillmill.plans.registry import core
 from quillmill.plans.sqltext import norm, words
 from quillmill.session import table
@@ -34,29 +36,33 @@ def overlap_sql(a: str, b: str, t: float, name: str) -> str:
     {name} as (select a, b, c / (na + nb - c) as similarity from {name}_c where c / (na + nb - c) >= {t} - 1e-12)"""
 
 
+@core.exact
 @core.query("exact_dedup", f"with {T} select instance_id, question from t where {norm('question')} <> '' qualify row_number() over (partition by {norm('question')} order by instance_id) = 1")
-def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+def exact_dedup(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """H1."""
-    return D.exact_dedup(_tasks(spark, d).select("instance_id", "question").distinct(), "question", "instance_id")
+    return D.exact_dedup(_tasks(spark, d).select("instance_id", "question").distinct(), "question", "instance_id", form)
 
 
 NEAR = f"with {T}, {grams_sql('question', 'ga', 'bench_instance', 'instance_id')}, {grams_sql('question', 'gb', 't', 'instance_id')}, {overlap_sql('ga', 'gb', 0.3, 'o')} select a, b, round(similarity, 6) as similarity from o"
 
 
+@core.exact
 @core.query("near_pairs", NEAR)
-def near_pairs(spark: SparkSession, d: str) -> DataFrame:
+def near_pairs(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """Test items against generated tasks."""
     bench = table(spark, d, "bench_instance")
-    return D.near_overlap(bench, _tasks(spark, d), "instance_id", "question", "instance_id", "question", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.near_overlap(bench, _tasks(spark, d), "instance_id", "question", "instance_id", "question", 0.3, form).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@core.exact
 @core.query("near_pairs_prefix", NEAR)
-def near_pairs_prefix(spark: SparkSession, d: str) -> DataFrame:
+def near_pairs_prefix(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """H4: the same pairs by prefix filtering."""
     bench = table(spark, d, "bench_instance")
-    return D.near_overlap_prefix(bench, _tasks(spark, d), "instance_id", "question", "instance_id", "question", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.near_overlap_prefix(bench, _tasks(spark, d), "instance_id", "question", "instance_id", "question", 0.3, form).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@core.exact
 @core.query(
     "decontaminate",
     f"""with {T}, {grams_sql('question', 'ga', 'bench_instance', 'instance_id')}, {grams_sql('question', 'gb', 't', 'instance_id')}, {overlap_sql('ga', 'gb', 0.5, 'o')},
@@ -64,11 +70,11 @@ def near_pairs_prefix(spark: SparkSession, d: str) -> DataFrame:
       union select instance_id from t where split is null)
     select instance_id, 'blocked' as state from bad union all select distinct instance_id, 'clean' from t where instance_id not in (select instance_id from bad)""",
 )
-def decontaminate(spark: SparkSession, d: str) -> DataFrame:
+def decontaminate(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """Clean and blocked tasks; those without a split were blocked before."""
     all_tasks = _tasks(spark, d)
     t = all_tasks.select("instance_id", "question").distinct()
-    clean, blocked = D.decontaminate(t, table(spark, d, "bench_instance"), all_tasks.where("split is null"), "instance_id", "question", "instance_id", "question", 0.5)
+    clean, blocked = D.decontaminate(t, table(spark, d, "bench_instance"), all_tasks.where("split is null"), "instance_id", "question", "instance_id", "question", 0.5, form)
     state = lambda df, s: df.select("instance_id", F.lit(s).alias("state")).distinct()
     return state(clean, "clean").unionByName(state(blocked, "blocked"))
 
@@ -82,17 +88,18 @@ def decontamination_loop(spark: SparkSession, d: str) -> DataFrame:
     return count(clean, "clean").unionByName(count(blocked, "blocked"))
 
 
+@core.exact
 @core.query(
     "train_dev_near_excl",
     f"""with {T}, tr as (select distinct instance_id, question from t where split in ('train', 'training')), dv as (select distinct instance_id, question from t where split in ('val', 'validation', 'dev')),
     {grams_sql('question', 'ga', 'dv', 'instance_id')}, {grams_sql('question', 'gb', 'tr', 'instance_id')}, {overlap_sql('ga', 'gb', 0.5, 'o')}
     select instance_id from tr where instance_id not in (select b from o)""",
 )
-def train_dev_near_excl(spark: SparkSession, d: str) -> DataFrame:
+def train_dev_near_excl(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """H7."""
     t = _tasks(spark, d).select("instance_id", "question", "split").distinct()
     train, dev = t.where(F.col("split").isin("train", "training")), t.where(F.col("split").isin("val", "validation", "dev"))
-    return D.exclude_near(train, dev, "instance_id", "question", 0.5).select("instance_id")
+    return D.exclude_near(train, dev, "instance_id", "question", 0.5, form).select("instance_id")
 
 
 @core.query("near_admission")
@@ -102,6 +109,7 @@ def near_admission(spark: SparkSession, d: str) -> DataFrame:
     return D.near_admission(t.where("skill is not null"), "skill", "instance_id", "question").select("instance_id", "skill")
 
 
+@core.exact
 @core.query(
     "duplicate_issues",
     f"""with u as (select distinct instance_id, question, coalesce(dataset, '?') as path from synthetic_task union all select instance_id, question, 'bench' from bench_instance),
@@ -111,24 +119,25 @@ def near_admission(spark: SparkSession, d: str) -> DataFrame:
     select 'duplicate_id' as issue, path, instance_id as id, pi as detail from w where ri > 1
     union all select 'duplicate_normalized_question', path, instance_id, pt from w where rt > 1 and n <> ''""",
 )
-def duplicate_issues(spark: SparkSession, d: str) -> DataFrame:
+def duplicate_issues(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """F18 over the tasks, a file for each dataset, and the test items."""
     t = table(spark, d, "synthetic_task").select("instance_id", "question", F.coalesce("dataset", F.lit("?")).alias("path")).distinct()
     b = table(spark, d, "bench_instance").select("instance_id", "question", F.lit("bench").alias("path"))
-    return D.duplicate_issues(t.unionByName(b), "path", "instance_id", "question")
+    return D.duplicate_issues(t.unionByName(b), "path", "instance_id", "question", form)
 
 
+@core.exact
 @core.query(
     "gold_name_in_query",
     f"""with q as (select instance_id, {norm("question || ' ' || coalesce((select any_value(name) from skill_corpus s where s.skill_id = e.skill_annotations[1]), '')")} as q, unnest(skill_annotations) as skill_id from example_instance e where question is not null)
     select distinct instance_id, skill_id from q join skill_corpus using (skill_id) where {norm('name')} <> '' and contains(q, {norm('name')})""",
 )
-def gold_name_in_query(spark: SparkSession, d: str) -> DataFrame:
+def gold_name_in_query(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """D9 on questions that name their first gold skill."""
     s = table(spark, d, "skill_corpus")
     e = table(spark, d, "example_instance").where("question is not null").withColumn("first", F.get("skill_annotations", F.lit(0)))
     named = e.join(s.select(F.col("skill_id").alias("first"), "name"), "first", "left").withColumn("q", F.concat("question", F.lit(" "), F.coalesce("name", F.lit(""))))
-    return D.gold_name_in_query(named, s, "instance_id", "q", F.col("skill_annotations"))
+    return D.gold_name_in_query(named, s, "instance_id", "q", F.col("skill_annotations"), form)
 
 
 # The events table is the journal: a user's events are attempts, in order of time.

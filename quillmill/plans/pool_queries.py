@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import strings as S
+from quillmill.functions.text import normalize_native
 from quillmill.operators import pool as L
 from quillmill.operators import retrieval as R
+from quillmill.operators.dedup import Norm
 from quillmill.plans.registry import core
 from quillmill.plans.retrieval_queries import BENCH, SKILLS, _bench, _skills, bm25_sql, counts_sql
 from quillmill.plans.sqltext import norm
 from quillmill.session import table
 
 
+@core.exact
 @core.query(
     "task_pool_merge",
     f"""with t as (select *, {norm('question')} as n from synthetic_task where question is not null),
@@ -23,10 +26,10 @@ from quillmill.session import table
     s as (select n, string_agg(distinct x, ',' order by x) as x from (select n, unnest(datasets) as x from t) where x is not null and x <> '' group by 1)
     select b.instance_id, b.question, b.members, coalesce(g.x, '') as gold, coalesce(o.x, '') as origins, coalesce(s.x, '') as datasets from b left join g using (n) left join o using (n) left join s using (n)""",
 )
-def task_pool_merge(spark: SparkSession, d: str) -> DataFrame:
+def task_pool_merge(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """F2."""
     t = table(spark, d, "synthetic_task").where("question is not null")
-    m = L.merge_questions(t.select("instance_id", "question", "gold_skill_ids", "origin_skill_ids", "datasets"), "instance_id", "question", ["gold_skill_ids", "origin_skill_ids", "datasets"])
+    m = L.merge_questions(t.select("instance_id", "question", "gold_skill_ids", "origin_skill_ids", "datasets"), "instance_id", "question", ["gold_skill_ids", "origin_skill_ids", "datasets"], form)
     join = lambda c: F.array_join(c, ",")
     return m.select("instance_id", "question", "members", join("gold_skill_ids").alias("gold"), join("origin_skill_ids").alias("origins"), join("datasets").alias("datasets"))
 

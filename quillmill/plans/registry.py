@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, update_wrapper
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmill.functions.text import normalize_exact
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,5 +32,13 @@ class Registry:
 
         return add
 
+    def exact(self, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        """Register a query that takes the ``form`` of normalisation a second time, as ``NAME_nfkc`` in the exact form.
+
+        The query itself keeps the JVM-side form, which its SQL follows; DuckDB has no NFKC, so the exact one has no SQL.
+        """
+        self.query(f"{f.__name__}_nfkc")(update_wrapper(partial(f, form=normalize_exact), f))
+        return f
+
 
 core = Registry()

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import normalize_native
 from quillmill.operators import selection as S
+from quillmill.operators.dedup import Norm
 from quillmill.plans.registry import core
 from quillmill.plans.sqltext import norm
 from quillmill.session import table
 
 
+@core.exact
 @core.query(
     "held_out_excluded",
     f"""with t as (select distinct instance_id, question, lower(trim(split)) as split from synthetic_task), h as (select {norm('question')} as n from t where split in ('val', 'validation', 'dev') and question is not null)
     select distinct instance_id from t where split in ('train', 'training') and (coalesce({norm('question')}, '') = '' or {norm('question')} not in (select n from h where n <> ''))""",
 )
-def held_out_excluded(spark: SparkSession, d: str) -> DataFrame:
+def held_out_excluded(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """Training tasks whose question is in no validation task."""
     t = table(spark, d, "synthetic_task").select("instance_id", "question", F.lower(F.trim("split")).alias("split")).distinct()
-    return S.exclude_held_out(t.where(F.col("split").isin("train", "training")), t.where(F.col("split").isin("val", "validation", "dev")), "question", "question").select("instance_id").distinct()
+    return S.exclude_held_out(t.where(F.col("split").isin("train", "training")), t.where(F.col("split").isin("val", "validation", "dev")), "question", "question", form).select("instance_id").distinct()
 
 
 @core.query("question_gate", """with t as (select distinct instance_id, question from synthetic_task) select instance_id, length(regexp_replace(coalesce(question, ''), '^[\\s"'']+|[\\s"'']+$', '', 'g')) >= 10 as admissible from t""")

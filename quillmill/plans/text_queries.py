@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import strings as S
 from quillmill.functions.text import normalize_native, words_native
+from quillmill.operators.dedup import Norm
 from quillmill.plans.registry import core
 from quillmill.plans.sqltext import norm, toks, words
 from quillmill.session import table
@@ -14,12 +15,14 @@ from quillmill.session import table
 STOP = ["the", "this", "that", "then", "there", "these", "when", "with", "what", "which"]
 
 
+@core.exact
 @core.query("normalize_docs", f"select doc_id, {norm('text')} as norm from documents")
-def normalize_docs(spark: SparkSession, d: str) -> DataFrame:
+def normalize_docs(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """B1 over the crawl."""
-    return table(spark, d, "documents").select("doc_id", normalize_native("text").alias("norm"))
+    return table(spark, d, "documents").select("doc_id", form("text").alias("norm"))
 
 
+@core.exact
 @core.query(
     "shingles",
     f"""with w as (select doc_id, {words('text')} as w from documents where text is not null),
@@ -28,10 +31,10 @@ def normalize_docs(spark: SparkSession, d: str) -> DataFrame:
         lambda i: substr(array_to_string(w, ''), i, least(8, greatest(3, length(array_to_string(w, ''))))))) end as g from w)
     select doc_id, unnest(g) as gram from g""",
 )
-def shingles(spark: SparkSession, d: str) -> DataFrame:
+def shingles(spark: SparkSession, d: str, form: Norm = normalize_native) -> DataFrame:
     """B2, one row a distinct gram."""
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.explode(S.grams(F.col("text"))).alias("gram")).distinct()
+    return docs.select("doc_id", F.explode(S.normalized_grams(form("text"))).alias("gram")).distinct()
 
 
 @core.query("tokens", f"select doc_id, cast(len({toks('text')}) as bigint) as n, array_to_string({toks('text')}, ' ') as tokens from documents where text is not null")

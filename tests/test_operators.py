@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -316,3 +317,28 @@ def test_settings(spark):
     t = spark.createDataFrame([("m", "d", "s"), ("m", "d", "t"), ("n", "d", "t")], "model string, dataset string, skill_id string")
     got = {(r["model"], r["skill_id"], r["key"]): r["value"] for r in O.resolve(s, t).collect()}
     assert got == {("m", "s", "k"): "3", ("m", "t", "k"): "2", ("n", "t", "k"): "1", ("m", "s", "z"): "9", ("m", "t", "z"): "9", ("n", "t", "z"): "9"}
+
+
+def test_copies_in_other_unicode_forms(spark):
+    from quillmill.operators import audit as U
+    from quillmill.operators import selection as N
+
+    plain = "Where is the café of the old ﬁsh market in Zürich ②"
+    forms = [plain, unicodedata.normalize("NFD", plain), unicodedata.normalize("NFKC", plain), "Ｗhere is the café of the old fish market in zürich 2"]
+    assert len({" ".join(words_of(t)) for t in forms}) == 1
+    a = spark.createDataFrame([(i, t, [f"s{i}"]) for i, t in enumerate([*forms, "something else altogether that is long enough", None, " "])], "id int, text string, gold array<string>")
+    test = spark.createDataFrame([(90, forms[1])], "id int, text string")
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+    assert ids(D.exact_dedup(a, "text", "id")) == [0, 4]
+    assert {tuple(r) for r in D.overlapping(a, test, "id", "text", "id", "text").collect()} == {(i, "exact") for i in range(4)}
+    for f in (D.near_overlap, D.near_overlap_prefix):
+        assert {tuple(r) for r in f(test, a, "id", "text", "id", "text").collect()} == {(90, i, 1.0) for i in range(4)}
+    assert ids(D.decontaminate(a, test, a.limit(0), "id", "text", "id", "text")[0]) == [4, 5, 6]
+    assert ids(D.exclude_near(a, test, "id", "text")) == [4, 5, 6]
+    assert ids(N.exclude_held_out(a, test, "text", "text")) == [4, 5, 6]
+    assert [r["members"] for r in L.merge_questions(a, "id", "text", ["gold"]).orderBy("id").collect()] == [4, 1]
+    paths = a.withColumn("path", F.lit("p"))
+    assert ids(D.duplicate_issues(paths, "path", "id", "text")) == [1, 2, 3]
+    skills = a.select(F.explode("gold").alias("skill_id"), F.lit("x").alias("name"))
+    audit = U.leakage(a, skills, "id", "text", "gold", D.overlapping(a, test, "id", "text", "id", "text"))
+    assert audit.where("issue = 'exact_test_question_overlap'").count() == 4 and audit.where("issue = 'duplicate_normalized_question'").count() == 1

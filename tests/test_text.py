@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import strings as S
-from quillmill.functions.text import normalize, normalize_native, words_of
+from quillmill.functions.text import normalize, normalize_exact, normalize_native, words_of
 
 TEXTS = ["ﬁne ² words", "Straße GROSSE", "İstanbul", "a_b-c", "", None, "   ", "one two three four", "one two three four five", "a b c d e f a b c d e", "x" * 5000, "日本 語"]
 
@@ -92,3 +92,10 @@ def test_react_steps():
 def test_tokens(spark):
     assert column(spark, S.tokens, ["Don't stop_me, 1.5!", "", None]) == [["don", "t", "stop_me", "1", "5"], [], None]
     assert re.fullmatch(r"\w+", "stop_me")
+
+
+def test_exact_form_everywhere(spark):
+    texts = ["Plain ASCII, x_1", "ﬁne Ｗide ②", "Zürich STRASSE Straße", "İstanbul ſet", "", " ", None, "café au lait dans la rue"]
+    want = [None if t is None else " ".join(words_of(t)) for t in texts]
+    assert column(spark, lambda c: normalize_exact(c), texts) == want
+    assert [g and set(g) for g in column(spark, lambda c: S.normalized_grams(normalize_exact(c)), texts)] == [None if t is None else grams(t) or {""} for t in texts]
