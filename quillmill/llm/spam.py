@@ -3,7 +3,7 @@
 A page is cut into units (lines, and the sentences or runs inside a line). A unit with the build of a sentence,
 code or a bare fragment is none of the page's stuffing. Of the others, the sequence of terms is analysed:
 recurrence gaps (how evenly each repeated term comes back) and positional autocorrelation (how often the term
-or its shape comes back at a lag, in a window of lags). Regular repetition, link and tag tokens, and lists of
+comes back at a lag, whatever the lag). Regular repetition, link and tag tokens, and lists of
 distinct terms without function words count as stuffing; a page is flagged if they make up two thirds of it.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,8 @@ FUNCTION_WORDS = frozenset(
 )
 
 SHARE = 2 / 3  #: share of the page's text that makes it a stuffed one
-LAGS = 16  #: lags of the autocorrelation
+LAGS = 16  #: short lags, and the window of lines in which any near copy counts
+DIRECT = 2048  #: most terms of which all lags are tried one by one; of longer units the likeliest ones are
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|info|biz|io|de|fr|es|shop|site|xyz|online)\b(?:/[^\s<>\"')\]]*)?", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 _HASHTAG = re.compile(r"#\w[\w-]*")
@@ -50,14 +51,25 @@ _ANCHOR = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
 _CODE = re.compile(r"[{}=]|^\s*(?:def|return|import|from|for|if|while|print|class|select|var|let|const)\b.*[:(;=]|^\s*[\[{]")
 
 
-def autocorrelation(terms: list, lags: int = LAGS) -> float:
-    """The largest share of positions whose term comes back at one and the same lag."""
+def autocorrelation(terms: list, lags: int | None = None) -> float:
+    """The largest share of positions whose term comes back at one and the same lag, up to ``lags`` or half the terms.
+
+    Of long units the lags are ranked by Fourier transforms of random signs for the terms, whose autocorrelation is
+    that of the terms up to noise; the short lags and the best of the others are then counted exactly.
+    """
     n = len(terms)
     if n < 4:
         return 0.0
     codes = {t: i for i, t in enumerate(dict.fromkeys(terms))}
     x = np.fromiter(map(codes.__getitem__, terms), dtype=np.int64, count=n)
-    return max(float((x[k:] == x[:-k]).mean()) for k in range(1, min(lags, n // 2) + 1))
+    most = n // 2 if lags is None else min(lags, n // 2)
+    tried = range(1, most + 1)
+    if n > DIRECT and most > LAGS:
+        signs = np.random.default_rng(0).choice([-1.0, 1.0], size=(8, len(codes)))
+        power = sum(np.abs(np.fft.rfft(s[x], 2 * n)) ** 2 for s in signs)
+        shares = np.fft.irfft(power, 2 * n)[1 : most + 1] / (n - np.arange(1, most + 1))
+        tried = {*range(1, LAGS + 1), *(1 + np.argsort(-shares, kind="stable")[:64]).tolist()}
+    return max(float((x[k:] == x[:-k]).mean()) for k in tried)
 
 
 def gap_regularity(terms: list) -> tuple[float, float]:
@@ -134,6 +146,36 @@ def _skeleton(a: list[str], b: list[str]) -> bool:
     return len(a) == len(b) and same >= len(a) - 1 or len(set(a) & set(b)) >= 0.6 * max(len(a), len(b))
 
 
+class _Lines:
+    """The lines of a page, found by what near copies share."""
+
+    def __init__(self, lines: list[list[str]]) -> None:
+        self.lines = lines
+        self.often = Counter(t for x in lines for t in set(x))
+        self.at: dict = defaultdict(list)
+        for i, x in enumerate(lines):
+            for k in self._keys(x):
+                self.at[k].append(i)
+
+    def _keys(self, terms: list[str]) -> set:
+        """Line with one term left out, and the rarest terms, of which lines with 60 % in common share one."""
+        rare = sorted(set(terms), key=lambda t: (self.often[t], t))
+        least = -(-6 * len(rare) // 10)
+        return {(i, *terms[:i], *terms[i + 1 :]) for i in range(len(terms))} | set(rare[: len(rare) - least + 1])
+
+    def comes_back(self, i: int) -> bool:
+        """Whether two other lines of the page are nearly this one; a line of two terms must come back as it is."""
+        terms, seen, hits = self.lines[i], {i}, 0
+        for k in sorted(self._keys(terms), key=lambda k: isinstance(k, str)):
+            for j in self.at[k]:
+                if j not in seen:
+                    seen.add(j)
+                    hits += self.lines[j] == terms if len(terms) < 3 else _skeleton(terms, self.lines[j])
+                    if hits >= 2:
+                        return True
+        return False
+
+
 def stuffing_share(text: str | None) -> float:
     """Share of a page's characters (white space apart) that are stuffing; 0 for null, empty and blank texts."""
     if not text or not text.strip():
@@ -176,13 +218,18 @@ def stuffing_share(text: str | None) -> float:
             terms = []  # left to the run
         lines.append((size, terms, hit > 0))
     stuffed += _run(run)
-    # doorway lines: short, not closed, and nearly the same line comes back within a window of lines
+    # doorway lines: short, not closed, and nearly the same line comes back within a window of lines, or farther away
+    far = None
     for i, (size, terms, done) in enumerate(lines):
         if done or not 2 <= len(terms) <= 10 or sum(t[:1].isdigit() for t in terms) > 0.4 * len(terms):
             continue
         near = [lines[j][1] for j in range(max(0, i - LAGS), min(len(lines), i + LAGS + 1)) if j != i and lines[j][1]]
         if sum(_skeleton(terms, x) for x in near) >= 2:
             stuffed += size
+            continue
+        far = far or _Lines([x for _, x, _ in lines])
+        if far.comes_back(i):
+            stuffed += size
     return stuffed / total
 
 
@@ -198,7 +245,7 @@ def _run(run: list[tuple[int, list[str]]]) -> int:
     if len(units) < 4 or len(terms) < 8:
         return 0
     repeated, even = gap_regularity(terms)
-    regular = repeated >= 0.3 and even >= 0.4 and autocorrelation(terms) >= 0.1 or repeated >= 0.6
+    regular = repeated >= 0.6 or repeated >= 0.3 and even >= 0.4 and (autocorrelation(terms, LAGS) >= 0.1 or autocorrelation(terms) >= 0.5)
     listed = len(units) >= 6 and len(terms) <= 4.5 * len(units)
     return sum(n for n, _ in units) if regular or listed else 0
 

@@ -185,6 +185,18 @@ def test_phrase_without_separators(phrase):
     assert W.stuffing_share(phrase * 20 + "\n" + PROSE * 40) < W.SHARE
 
 
+LONG_PHRASE = "running shoes outlet for men women kids trail road sale prices online store and discount codes coupons with delivery worldwide today "
+
+
+def test_long_periods():
+    assert len(LONG_PHRASE.split()) == 21 and W.stuffing_share(LONG_PHRASE * 20) >= W.SHARE
+    assert W.autocorrelation([f"w{i % 40}" for i in range(400)]) == 1.0
+    assert W.autocorrelation([f"w{i % 700}" for i in range(7000)]) == 1.0
+    assert W.autocorrelation([f"w{i}" for i in range(5000)]) == 0.0
+    block = [f"the red{i} of shoe{i}" for i in range(60)]
+    assert W.stuffing_share("\n".join(block * 4)) >= W.SHARE and W.stuffing_share("\n".join(block)) < W.SHARE
+
+
 def test_recurrence():
     assert W.autocorrelation(list("abcabcabc")) == 1.0 and W.autocorrelation(list("abcdefgh")) == 0.0
     assert W.gap_regularity(list("abab")) == (0.5, 1.0) and W.gap_regularity([]) == (0.0, 0.0)
