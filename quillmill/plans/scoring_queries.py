@@ -170,6 +170,13 @@ def accuracy(spark: SparkSession, d: str) -> DataFrame:
     return G.accuracy(r, "method", "dataset").withColumn("accuracy", F.round("accuracy", 6))
 
 
+@core.query("accuracy_all")
+def accuracy_all(spark: SparkSession, d: str) -> DataFrame:
+    """F3 by method, of all datasets; theoremqa needs Python, so there is no SQL."""
+    r = G.details(_results(spark, d), "raw_output", "dataset", "question", "eval_data")
+    return G.accuracy(r, "method", "dataset").withColumn("accuracy", F.round("accuracy", 6))
+
+
 @core.query("val_accuracy")
 def val_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Correct, whole and without error, by method and model."""

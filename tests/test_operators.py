@@ -342,3 +342,26 @@ def test_copies_in_other_unicode_forms(spark):
     skills = a.select(F.explode("gold").alias("skill_id"), F.lit("x").alias("name"))
     audit = U.leakage(a, skills, "id", "text", "gold", D.overlapping(a, test, "id", "text", "id", "text"))
     assert audit.where("issue = 'exact_test_question_overlap'").count() == 4 and audit.where("issue = 'duplicate_normalized_question'").count() == 1
+
+
+def replies(spark, folder):
+    """Tables of one reply that is right and one that is wrong for every dataset."""
+    data = "answer string, answer_type string, task_type string, output_type string, calculator_id int, lower_limit string, upper_limit string"
+    ask = [
+        ("t", "theoremqa", "q", ("2.5", "float", None, None, None, None, None), "The answer is 2.5", "The answer is 7"),
+        ("l", "logicbench", "q", ("yes", None, "BQA", None, None, None, None), "Answer: yes", "Answer: no"),
+        ("o", "toolqa", "q", ("Oslo", None, None, None, None, None, None), "Finish[Oslo]", "Finish[Bergen]"),
+        ("m", "medcalcbench", "q", ("10.0", None, None, "decimal", 2, "9.5", "10.5"), "Answer: 10.1", "Answer: 30"),
+    ]
+    spark.createDataFrame([a[:4] for a in ask], f"instance_id string, dataset string, question string, eval_data struct<{data.replace(' string', ':string').replace(' int', ':int')}>").write.parquet(f"{folder}/example_instance.parquet")
+    rows = [(10 * i + k, a[0], "m", "x", a[4 + k], None, (False,)) for i, a in enumerate(ask) for k in (0, 1)]
+    spark.createDataFrame(rows, "record_id bigint, instance_id string, method string, model string, raw_output string, error string, meta struct<failed:boolean>").write.parquet(f"{folder}/inference_record.parquet")
+    return {r[0]: r[0] % 10 == 0 for r in rows}
+
+
+def test_accuracy_of_all_datasets(spark, tmp_path):
+    import __spark_entry__ as e
+
+    replies(spark, tmp_path)
+    got = {r["dataset"]: (r["correct"], r["total"], r["accuracy"]) for r in e.queries()["accuracy_all"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(("theoremqa", "logicbench", "toolqa", "medcalcbench"), (1, 2, 0.5))
