@@ -84,7 +84,7 @@ def compare_answer(reply: Column, truth: Column, dataset: Column, question: Colu
     """Whether a reply agrees with an answer taken from another reply (C16): typed by the look of that answer.
 
     Dates, integers (rounded half to even), decimals (4 %) and words for medcalcbench; logicbench and toolqa by
-    their own rules. theoremqa needs :func:`theorem_details` and is null here; an empty truth is never met.
+    their own rules. theoremqa needs :func:`compared` and is null here; an empty truth is never met.
     """
     text, g = strip_think(F.coalesce(reply, F.lit(""))), A.strip(F.coalesce(truth, F.lit("")))
     none = F.lit(None)
@@ -102,6 +102,16 @@ def compare_answer(reply: Column, truth: Column, dataset: Column, question: Colu
     return F.when(g == "", False).when(dataset == "theoremqa", None).otherwise(F.coalesce(same, F.lit(False)))
 
 
+def compared(results: DataFrame, reply: str, truth: Column, dataset: str, question: str) -> DataFrame:
+    """Adds same: :func:`compare_answer` for every dataset, theoremqa as a number within 4 % or equal words."""
+    is_theorem = F.coalesce(F.col(dataset) == "theoremqa", F.lit(False))
+    base = results.withColumn("__g", A.strip(F.coalesce(truth, F.lit(""))))
+    native = base.where(~is_theorem).withColumn("same", compare_answer(F.col(reply), F.col("__g"), F.col(dataset), F.col(question)))
+    found = base.where(is_theorem).withColumn("__x", A.theorem_answer(strip_think(F.coalesce(F.col(reply), F.lit("")))))
+    theorem = found.withColumn("same", (F.col("__g") != "") & A.theorem_agrees(F.col("__x"), F.col("__g"), F.lit("float"))).drop("__x")
+    return native.unionByName(theorem).drop("__g")
+
+
 def masked_correct(correct: Column, truncated: Column, error: Column) -> Column:
     """Correct only if neither cut off nor failed."""
     return F.coalesce(correct, F.lit(False)) & ~F.coalesce(truncated, F.lit(False)) & (F.coalesce(error, F.lit("")) == "")

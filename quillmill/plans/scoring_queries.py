@@ -206,6 +206,14 @@ def compare_medcalc(spark: SparkSession, d: str) -> DataFrame:
     return j.select("record_id", G.compare_answer(F.col("raw_output"), F.col("eval_data.answer"), F.col("dataset"), F.col("question")).alias("same"))
 
 
+@core.query("compare_all")
+def compare_all(spark: SparkSession, d: str) -> DataFrame:
+    """C16 on every dataset, theoremqa included."""
+    i = table(spark, d, "inference_record").select("record_id", "instance_id", "raw_output").distinct()
+    j = i.join(table(spark, d, "example_instance"), "instance_id")
+    return G.compared(j, "raw_output", F.col("eval_data.answer"), "dataset", "question").select("record_id", "same")
+
+
 @core.query(
     "validate_eval_data",
     f"""with b as (select instance_id, dataset, question, eval_data as d, coalesce(eval_data.answer, '') as a, coalesce(eval_data.lower_limit, '') as lo, coalesce(eval_data.upper_limit, '') as up, coalesce(eval_data.answer_type, '') as t, coalesce(eval_data.task_type, '') as k,

@@ -365,3 +365,12 @@ def test_accuracy_of_all_datasets(spark, tmp_path):
     replies(spark, tmp_path)
     got = {r["dataset"]: (r["correct"], r["total"], r["accuracy"]) for r in e.queries()["accuracy_all"](spark, str(tmp_path)).collect()}
     assert got == dict.fromkeys(("theoremqa", "logicbench", "toolqa", "medcalcbench"), (1, 2, 0.5))
+
+
+def test_comparison_of_all_datasets(spark, tmp_path):
+    import __spark_entry__ as e
+
+    want = replies(spark, tmp_path)
+    assert {r["record_id"]: r["same"] for r in e.queries()["compare_all"](spark, str(tmp_path)).collect()} == want
+    empty = spark.createDataFrame([("theoremqa", "", "q"), ("theoremqa", None, "q")], "dataset string, r string, question string")
+    assert [r["same"] for r in C.compared(empty, "r", F.lit(" "), "dataset", "question").collect()] == [False, False]
