@@ -50,6 +50,15 @@ _BULLET = re.compile(r"^\s*(?:[-*+•·]|\d+[.)])\s+")
 _ANCHOR = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
 _CODE = re.compile(r"[{}=]|^\s*(?:def|return|import|from|for|if|while|print|class|select|var|let|const)\b.*[:(;=]|^\s*[\[{]")
 
+_CODE_MARK = re.compile(r"""[{}=;:()\[\]<>"'`+*]""")
+
+
+def _code(unit: str) -> bool:
+    """Code by the share of its marks, not by one of them: a mark for every five terms at least."""
+    if not _CODE.search(unit) or _TAG.search(unit) or _URL.search(unit):
+        return False
+    return 5 * len(_CODE_MARK.findall(unit)) >= len(_WORD.findall(unit))
+
 
 def autocorrelation(terms: list, lags: int | None = None) -> float:
     """The largest share of positions whose term comes back at one and the same lag, up to ``lags`` or half the terms.
@@ -193,13 +202,15 @@ def stuffing_share(text: str | None) -> float:
         total += size
         if line.lstrip().startswith("```"):
             fenced = not fenced
-        if fenced or line.lstrip().startswith("```") or (_CODE.search(line) and not _TAG.search(line) and not _URL.search(line)):
+        if fenced or line.lstrip().startswith("```"):
             lines.append((size, [], False))
             stuffed += _run(run)
             continue
-        hit = 0
+        hit = coded = 0
         for u in _SENTENCE.split(line.lower() if line.isupper() else line):
-            if _sentence(u):
+            code = _code(u)
+            if code or _sentence(u):
+                coded += code and _ink(u)
                 if run:
                     stuffed += _run(run)
                 continue
@@ -213,7 +224,7 @@ def stuffing_share(text: str | None) -> float:
             else:
                 stuffed += _run(run)
         stuffed += hit
-        terms = [t.lower() for t in _WORD.findall(line)] if len(line) < 120 and not hit and not _CLOSED.search(line) else []
+        terms = [t.lower() for t in _WORD.findall(line)] if len(line) < 120 and not hit and 2 * coded < size and not _CLOSED.search(line) else []
         if terms and run and run[-1][1] == [t.replace("’", "'") for t in terms]:
             terms = []  # left to the run
         lines.append((size, terms, hit > 0))

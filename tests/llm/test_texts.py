@@ -197,6 +197,13 @@ def test_long_periods():
     assert W.stuffing_share("\n".join(block * 4)) >= W.SHARE and W.stuffing_share("\n".join(block)) < W.SHARE
 
 
+@pytest.mark.parametrize("odd", ["size=42", "{sale}", "a = b"])
+def test_one_code_mark_is_no_code(odd):
+    assert W.stuffing_share("red shoes cheap shoes " * 20 + odd + " red shoes cheap shoes" * 20) >= W.SHARE
+    code = "\n".join(f"total = total + price[{i}]; count = count + 1;" for i in range(40))
+    assert W.stuffing_share(code) < W.SHARE and W.stuffing_share(" ".join(code.split("\n"))) < W.SHARE
+
+
 def test_recurrence():
     assert W.autocorrelation(list("abcabcabc")) == 1.0 and W.autocorrelation(list("abcdefgh")) == 0.0
     assert W.gap_regularity(list("abab")) == (0.5, 1.0) and W.gap_regularity([]) == (0.0, 0.0)
