@@ -150,6 +150,15 @@ def without_skills(user: Column) -> Column:
     return F.when((start == 1) & (stop > 0), rest).otherwise(user)
 
 
+def without_known_skills(user: Column, skills: Column) -> Column:
+    """The user prompt without the first block of these skills, wherever it stands and whatever they hold."""
+    block = F.concat(F.lit("Relevant Skill:\n"), F.array_join(skills, "\n---\n"), F.lit("\n\n"))
+    at = F.locate("Relevant Skill:\n", user)  # cheap sign that there is any
+    start = F.when(at > 0, F.position(block, user)).otherwise(0)
+    rest = F.concat(F.substr(user, F.lit(1), start - 1), F.substr(user, start + F.length(block)))
+    return F.when((F.size(skills) > 0) & (start > 0), rest).otherwise(user)
+
+
 def catalog_lines(names: Column, descriptions: Column) -> Column:
     """One line "[i] name: description" an entry, counted from 1."""
     pair = F.arrays_zip(names.alias("n"), descriptions.alias("d"))

@@ -150,6 +150,17 @@ def strip_skill(spark: SparkSession, d: str) -> DataFrame:
     return j.select("instance_id", S.without_skills(S.with_skills(F.col("question"), F.array("name"))).alias("stripped"))
 
 
+@core.query("strip_skill_all")
+def strip_skill_all(spark: SparkSession, d: str) -> DataFrame:
+    """B15 on all test items with all their skills, names with line breaks included; without known skills nothing is put before."""
+    b = table(spark, d, "bench_instance").select("instance_id", "question", "skill_annotations")
+    known = table(spark, d, "skill_corpus").select("skill_id", "name").where("name is not null")
+    e = b.select("instance_id", F.posexplode("skill_annotations").alias("i", "skill_id")).join(known, "skill_id")
+    names = e.groupBy("instance_id").agg(F.sort_array(F.collect_set(F.struct("i", "name"))).alias("l")).select("instance_id", F.transform("l", lambda x: x["name"]).alias("names"))
+    j = b.join(names, "instance_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    return j.select("instance_id", S.without_known_skills(S.with_skills(F.col("question"), F.col("names")), F.col("names")).alias("stripped"))
+
+
 @core.query(
     "catalog_text",
     """with s as (select regexp_replace(skill_id, '_[^_]*$', '') as dataset, skill_id, name, description, row_number() over (partition by regexp_replace(skill_id, '_[^_]*$', '') order by skill_id) as i from skill_corpus where name is not null)

@@ -99,3 +99,14 @@ def test_exact_form_everywhere(spark):
     want = [None if t is None else " ".join(words_of(t)) for t in texts]
     assert column(spark, lambda c: normalize_exact(c), texts) == want
     assert [g and set(g) for g in column(spark, lambda c: S.normalized_grams(normalize_exact(c)), texts)] == [None if t is None else grams(t) or {""} for t in texts]
+
+
+def test_strip_all_skills(spark, tmp_path):
+    import __spark_entry__ as e
+
+    asked = [("a", "q\n\nr", ["s1", "s2"]), ("b", "x", ["none"]), ("c", "y", None), ("d", None, ["s1"]), ("e", "z", ["s2"])]
+    spark.createDataFrame([(*a, "toolqa") for a in asked], "instance_id string, question string, skill_annotations array<string>, dataset string").write.parquet(f"{tmp_path}/bench_instance.parquet")
+    spark.createDataFrame([("s1", "one\n\nand more"), ("s2", "two\nlines")], "skill_id string, name string").write.parquet(f"{tmp_path}/skill_corpus.parquet")
+    assert {tuple(r) for r in e.queries()["strip_skill_all"](spark, str(tmp_path)).collect()} == {a[:2] for a in asked}
+    one = lambda c: S.without_known_skills(c, F.array(F.lit("k\n\nl")))
+    assert column(spark, one, ["few shots\n\nRelevant Skill:\nk\n\nl\n\nask", "Relevant Skill:\nother\n\nask"]) == ["few shots\n\nask", "Relevant Skill:\nother\n\nask"]
