@@ -14,7 +14,7 @@ from quillmill.functions.text import words_of
 from quillmill.llm import leakage as L
 from quillmill.llm import pairs as P
 from quillmill.llm import spam as W
-from quillmill.llm.crf import Crf
+from quillmill.llm.crf import Crf, Sequences
 from quillmill.llm.encode import Encoder, count_tokens, encode
 from quillmill.llm.packing import pack, plan, split_items
 from quillmill.llm.vocab import DEFAULT_VOCAB, load_ranks, merge_exact
@@ -250,23 +250,74 @@ def test_long_labels_are_empty():
         assert not P.is_empty(r), r
 
 
-def test_pairs_held_out(spark):
-    model = P.train([(r, q) for r, q, _ in made(1, 60)])
+def mostly_sound(seed, n):
+    """A sample as the tagger expects it: nine in ten replies are sound, with names, numbers and options as values."""
+    rng = random.Random(seed)
+    out = [(r, q) for r, q, _ in made(seed, n // 40)]
+    names = [a + b for a in ("Or", "Lar", "Tem", "Vis", "Quel") for b in ("wick", "mouth", "dale", "ford")]
+    for _ in range(n):
+        steps = rng.sample(STEPS, rng.randint(1, 4)) if rng.random() < 0.8 else rng.sample(SPANISH_STEPS, 2)
+        value = rng.choice([str(rng.randint(1, 99)), rng.choice(names), "yes", "no", f"choice_{rng.randint(1, 4)}"])
+        end = rng.choice(["Answer: {}", "The answer is {}.", "Hence \\boxed{{{}}}", "So the final result is **{}**."] if steps[0] in STEPS else ["Respuesta: {}", "La respuesta es {}."]).format(value)
+        question = QUESTION if steps[0] in STEPS else SPANISH
+        out.append((" ".join([*steps, end]) if rng.random() < 0.9 else value, question))
+    return out
+
+
+SPANISH_STEPS = ["El primer pueblo pierde 5 pasajeros y el tren sigue.", "En el segundo pueblo suben más personas al tren.", "Como el tercer pueblo es pequeño, nadie baja allí."]
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    return P.train(mostly_sound(1, 900))
+
+
+def test_pairs_held_out(tagger):
     test = made(2, 40)
-    right = 0
-    for r, q, want in test:
-        if P.is_empty(r):
-            got = "empty"
-        else:
-            p = P.Pair(r, q)
-            got = p.defect(model.decode([p.x])[0])
-        right += got == want
-    assert right / len(test) >= 0.97
+    got = tagger.defects([r for r, _, _ in test], [q for _, q, _ in test])
+    assert sum(g == w for g, (_, _, w) in zip(got, test)) / len(test) >= 0.97
+
+
+HELD_OUT = {  # sentences that share no template with the training
+    "refusal": ["That topic is off limits for this assistant, sorry.", "I'm declining this request.", "Sorry, I can't do that for you."],
+    "other_language": [
+        "Ensimmäisellä pysäkillä viisi matkustajaa poistuu junasta. Toisella pysäkillä kaksitoista ihmistä nousee kyytiin. Vastaus: 47",
+        "Di halte pertama lima penumpang turun dari kereta. Di halte kedua dua belas orang naik ke dalam kereta. Jawaban: 47",
+        "Tại ga đầu tiên năm hành khách xuống tàu. Tại ga thứ hai mười hai người lên tàu. Đáp án: 47",
+        "ที่สถานีแรกมีผู้โดยสารลงจากรถไฟห้าคน ที่สถานีที่สองมีคนขึ้นรถไฟสิบสองคน คำตอบคือ 47",
+        "Op de eerste halte stappen vijf reizigers uit de trein. Op de tweede halte stappen twaalf mensen in. Antwoord: 47",
+    ],
+}
+
+
+@pytest.mark.parametrize("kind", HELD_OUT)
+def test_unseen_wordings(tagger, kind):
+    got = tagger.defects(HELD_OUT[kind], [QUESTION] * len(HELD_OUT[kind]))
+    assert got == [kind] * len(got)
+
+
+def test_batches_do_not_matter(tagger):
+    test = made(5, 6)
+    replies, questions = [r for r, _, _ in test] + ["", "a\0b c. d", "12:30 “x” y"], [q for _, q, _ in test] + [None, "", QUESTION]
+    together = tagger.defects(replies, questions)
+    assert together == [tagger.defects([r], [q])[0] for r, q in zip(replies, questions)]
+
+
+def test_question_before_a_sound_reply(tagger):
+    """A copy of the question in front, words of declining inside the steps: still no defect."""
+    rng = random.Random(9)
+    texts, want = [], []
+    for _ in range(300):
+        lead = rng.choice([["The first stop is small."], ["Sorry about the long text."], ["We can help ourselves to a table."]])
+        texts.append(" ".join([QUESTION, *lead, *rng.sample(STEPS, 2), f"Answer: {rng.randint(1, 99)}"]))
+        want.append(None)
+    assert sum(a == b for a, b in zip(tagger.defects(texts, [QUESTION] * 300), want)) >= 285
 
 
 def test_broken_pairs_edges(spark):
+    sample = [(2000 + i, r, q, "z") for i, (r, q) in enumerate(mostly_sound(4, 600))]
     rows = [(i, r, q, "z") for i, (r, q, _) in enumerate(made(3, 20))] + [(900, None, QUESTION, "z"), (901, None, None, "z"), (902, QUESTION, "  ", "z"), (903, "word " * 20000, QUESTION, "z")]
-    df = spark.createDataFrame(rows, "id bigint, reply string, question string, defect string").repartition(3)
+    df = spark.createDataFrame(rows + sample, "id bigint, reply string, question string, defect string").repartition(3)
     got = {r["id"]: r["defect"] for r in P.broken_pairs(df, "id", "reply", "question").collect()}
     assert got[900] == got[901] == "empty" and got.get(902) in (None, "truncated")
     want = {i: d for i, (_, _, d) in enumerate(made(3, 20)) if d}
@@ -281,11 +332,11 @@ def test_field_learns_a_sequence():
         y = np.cumsum(rng.random(8) < 0.2) % 2
         seqs.append(np.stack([np.ones(8), y + rng.normal(0, 0.7, 8)], axis=1))
         labels.append(y)
-    m = Crf(2, 2).fit(seqs[:150], labels[:150])
-    got = m.decode(seqs[150:])
+    m = Crf(2, 2).fit(Sequences(np.concatenate(seqs[:150]), np.full(150, 8)), np.concatenate(labels[:150]), epochs=60, batch=50)
+    got = m.decode(Sequences(np.concatenate(seqs[150:]), np.full(50, 8))).reshape(50, 8)
     alone = np.mean([np.mean((x[:, 1] > 0.5) == y) for x, y in zip(seqs[150:], labels[150:])])
     assert np.mean([np.mean(a == b) for a, b in zip(got, labels[150:])]) > alone + 0.05  # neighbours must help
-    assert m.decode([]) == []
+    assert len(m.decode(Sequences(np.zeros((0, 2)), np.zeros(3)))) == 0
 
 
 def test_queries_have_the_given_columns(spark):
