@@ -142,13 +142,13 @@ class Encoder:
         return total[stop] - total[stop - per]
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of a bounded number of characters (or a single longer one), nulls as empty."""
     first, held, chars = 0, [], 0
     for i, t in enumerate(texts):
         held.append(t or "")
         chars += len(held[-1])
-        if chars >= CHUNK_CHARS:
+        if chars >= limit:
             yield first, held
             first, held, chars = i + 1, [], 0
     if held:

@@ -236,7 +236,7 @@ class Tagger:
     def defects(self, replies: list[str], questions: list[str | None]) -> list[str | None]:
         """The defect of each pair, or none."""
         out: list[str | None] = []
-        for first, part in chunks(replies):
+        for first, part in chunks(replies, 500_000):
             d = Described(part, questions[first : first + len(part)], self.languages)
             found = decide(d, self.tags(d))
             c = d.clauses

@@ -145,7 +145,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, pages, stuffed): stuffed pages of each source, null being a source of its own."""
     docs = documents(spark, sf_dir)
-    bad = stuffed_pages(docs, "doc_id", "text").select(F.col("doc_id").alias("__d"), F.lit(1).alias("bad"))
+    bad = stuffed_pages(spread(docs.select("doc_id", "text")), "doc_id", "text").select(F.col("doc_id").alias("__d"), F.lit(1).alias("bad"))
     joined = docs.select("doc_id", "source").join(bad, F.col("doc_id") == F.col("__d"), "left")
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("stuffed"))
 

@@ -167,53 +167,97 @@ CLEAN = {
 }
 
 
+FRAMES = [
+    "We saw the {} of the {} because it was in the {}, and nobody had it.", "They {} to the {} when it would {}, but it was not for the {}.", "It is the {} that you have in a {}, so we are on the {}.",
+    "If the {} was in the {}, then he had to {} it for the {}.", "She had a {} and it was on the {} in the {}.", "The {} is not a {}, and the {} that we have is of the {}.", "There is a {} in the {}, so that they {} it to the {}.",
+]
+NOUNS = "mill road water night boat river price market sale shoes bags shop corner street years page end house tool kinds links use shoe red cheap best online near me buy free flights deals hotel paris rome rise open walk knew".split() + [f"{a}{b}" for a in "bal cor dem fil gar hon lum nor pel ruv sat tor".split() for b in "an el ik om ur et as is on er ade ine".split()]
+
+
+def prose(rng, n):
+    return " ".join(f.format(*rng.choices(NOUNS, k=4)) for f in rng.choices(FRAMES, k=n))
+
+
+GERMAN_FRAMES = ["Wir sehen die {} und den {}, weil es in der {} ist.", "Es gibt eine {}, die er mit dem {} in die {} trägt.", "Das ist der {} und nicht die {}, so dass wir es in dem {} haben.", "Er hat die {} durch den {} und damit auch das {}."]
+
+
+FOREIGN_PROSE = {
+    "dutch": "Ik kwam thuis, ik zag de kat, ik gaf haar melk, en daarna ging ik slapen omdat ik erg moe was van de lange dag.",
+    "russian": "Мы пошли к старой мельнице, потому что дорога была закрыта, и никто не знал, когда она снова откроется, а вода поднялась ночью.",
+    "polish": "Poszliśmy do starego młyna, ponieważ droga była zamknięta, i nikt nie wiedział, kiedy znowu zostanie otwarta, a woda podniosła się w nocy.",
+    "italian": "Siamo andati al vecchio mulino perché la strada era chiusa, e nessuno sapeva quando sarebbe stata riaperta, e l'acqua era salita.",
+}
+
+
+@pytest.fixture(scope="module")
+def lexicon():
+    rng = random.Random(3)
+    corpus = [prose(rng, 9) for _ in range(200)] + [" ".join(f.format(*rng.choices(NOUNS, k=4)) for f in rng.choices(GERMAN_FRAMES, k=8)) for _ in range(60)]
+    return W.local_lexicon(corpus + list(STUFFED.values()) * 2 + [None, ""])
+
+
 @pytest.mark.parametrize("name", STUFFED)
-def test_stuffed(name):
-    assert W.stuffing_share(STUFFED[name]) >= W.SHARE
-    assert W.stuffing_share(STUFFED[name] + "\n" + PROSE[:60]) >= W.SHARE
-    assert W.stuffing_share(STUFFED[name] + "\n" + PROSE * 40) < W.SHARE
+def test_stuffed(name, lexicon):
+    assert W.stuffing_share(STUFFED[name], lexicon) >= W.SHARE
+    assert W.stuffing_share(STUFFED[name] + "\n" + PROSE[:60], lexicon) >= W.SHARE
+    assert W.stuffing_share(STUFFED[name] + "\n" + PROSE * 40, lexicon) < W.SHARE
 
 
 @pytest.mark.parametrize("name", CLEAN)
-def test_not_stuffed(name):
-    assert W.stuffing_share(CLEAN[name]) < W.SHARE
+def test_not_stuffed(name, lexicon):
+    assert W.stuffing_share(CLEAN[name], lexicon) < W.SHARE
+
+
+@pytest.mark.parametrize("name", FOREIGN_PROSE)
+def test_prose_of_unknown_languages(name, lexicon):
+    assert W.stuffing_share(FOREIGN_PROSE[name], lexicon) == 0.0
 
 
 @pytest.mark.parametrize("phrase", ["cheap flights to paris ", "hotel deals in rome ", "buy the red shoes "])
-def test_phrase_without_separators(phrase):
-    assert W.stuffing_share(phrase * 20) >= W.SHARE
-    assert W.stuffing_share(phrase * 20 + "\n" + PROSE * 40) < W.SHARE
+def test_phrase_without_separators(phrase, lexicon):
+    assert W.stuffing_share(phrase * 20, lexicon) >= W.SHARE
+    assert W.stuffing_share(phrase * 20 + "\n" + PROSE * 40, lexicon) < W.SHARE
 
 
 LONG_PHRASE = "running shoes outlet for men women kids trail road sale prices online store and discount codes coupons with delivery worldwide today "
 
 
-def test_long_periods():
-    assert len(LONG_PHRASE.split()) == 21 and W.stuffing_share(LONG_PHRASE * 20) >= W.SHARE
-    assert W.autocorrelation([f"w{i % 40}" for i in range(400)]) == 1.0
-    assert W.autocorrelation([f"w{i % 700}" for i in range(7000)]) == 1.0
-    assert W.autocorrelation([f"w{i}" for i in range(5000)]) == 0.0
+def test_long_periods(lexicon):
+    assert len(LONG_PHRASE.split()) == 21 and W.stuffing_share(LONG_PHRASE * 20, lexicon) >= W.SHARE
     block = [f"the red{i} of shoe{i}" for i in range(60)]
-    assert W.stuffing_share("\n".join(block * 4)) >= W.SHARE and W.stuffing_share("\n".join(block)) < W.SHARE
+    assert W.stuffing_share("\n".join(block), lexicon) < W.SHARE
 
 
 @pytest.mark.parametrize("odd", ["size=42", "{sale}", "a = b"])
-def test_one_code_mark_is_no_code(odd):
-    assert W.stuffing_share("red shoes cheap shoes " * 20 + odd + " red shoes cheap shoes" * 20) >= W.SHARE
+def test_one_code_mark_is_no_code(odd, lexicon):
+    assert W.stuffing_share("red shoes cheap shoes " * 20 + odd + " red shoes cheap shoes" * 20, lexicon) >= W.SHARE
     code = "\n".join(f"total = total + price[{i}]; count = count + 1;" for i in range(40))
-    assert W.stuffing_share(code) < W.SHARE and W.stuffing_share(" ".join(code.split("\n"))) < W.SHARE
+    assert W.stuffing_share(code, lexicon) < W.SHARE and W.stuffing_share(" ".join(code.split("\n")), lexicon) < W.SHARE
 
 
 def test_recurrence():
-    assert W.autocorrelation(list("abcabcabc")) == 1.0 and W.autocorrelation(list("abcdefgh")) == 0.0
-    assert W.gap_regularity(list("abab")) == (0.5, 1.0) and W.gap_regularity([]) == (0.0, 0.0)
+    words = np.array([1, 2, 3, 1, 2, 3, 9, 8, 1], dtype=np.uint64)
+    repeated, regular = W.recurrence(words, np.zeros(9, dtype=np.int64))
+    assert repeated.tolist() == [False] * 3 + [True] * 3 + [False, False, True]
+    assert regular.tolist() == [False] * 3 + [True] * 3 + [False] * 3
+    assert not W.recurrence(words, np.arange(9))[0].any()
+    assert W.even_gaps(np.zeros(5, dtype=np.int64), np.zeros(5, dtype=np.int64), np.array([0, 3, 6, 9, 30])).tolist() == [False, True, True, True, False]
+
+
+def test_function_words_are_learned(lexicon):
+    kinds = lambda text: lexicon.of(W.Clauses([text]).exact).tolist()
+    assert set(kinds("the and of it in to was und die wir")) == {W.FUNCTION}
+    assert W.FUNCTION not in kinds("shoes lattice bakery sale xyzzy")
 
 
 def test_stuffed_pages_edges(spark):
+    rng = random.Random(5)
     rows = [(1, STUFFED["tags"]), (2, None), (3, ""), (4, " \n "), (5, PROSE * 3), (1, STUFFED["tags"]), (6, "#a " * 20000), (7, "x" * 50000)]
-    df = spark.createDataFrame([(*r, 0.5) for r in rows], "id bigint, text string, stuffing double")
+    rows += [(100 + i, prose(rng, 9)) for i in range(100)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "id bigint, text string, stuffing double").repartition(3)
     assert sorted(r["id"] for r in W.stuffed_pages(df, "id", "text").collect()) == [1, 1, 6]
     assert W.stuffed_pages(df.limit(0), "id", "text").count() == 0
+    assert W.stuffed_pages(df.where("text is null or trim(text) = ''"), "id", "text").count() == 0
 
 
 QUESTION = "A train leaves Orwick at 9:15 with 40 passengers and stops in three towns on its way. How many passengers reach Larmouth?"
