@@ -178,7 +178,7 @@ def prose(rng, n):
     return " ".join(f.format(*rng.choices(NOUNS, k=4)) for f in rng.choices(FRAMES, k=n))
 
 
-GERMAN_FRAMES = ["Wir sehen die {} und den {}, weil es in der {} ist.", "Es gibt eine {}, die er mit dem {} in die {} trägt.", "Das ist der {} und nicht die {}, so dass wir es in dem {} haben.", "Er hat die {} durch den {} und damit auch das {}."]
+GERMAN_PARTS = ["wir sehen die {}", "weil es in der {} ist", "es gibt eine {}", "die er mit dem {} hat", "und nicht die {}", "damit wir durch die {} gehen", "er kam am {} nach Hause", "wir haben das auch durch {} erhalten", "die {} gibt es außerdem", "zuerst war eine {} da", "und am Abend kam die {}"]
 
 
 FOREIGN_PROSE = {
@@ -192,7 +192,7 @@ FOREIGN_PROSE = {
 @pytest.fixture(scope="module")
 def lexicon():
     rng = random.Random(3)
-    corpus = [prose(rng, 9) for _ in range(200)] + [" ".join(f.format(*rng.choices(NOUNS, k=4)) for f in rng.choices(GERMAN_FRAMES, k=8)) for _ in range(60)]
+    corpus = [prose(rng, 9) for _ in range(200)] + [" ".join(", ".join(f.format(rng.choice(NOUNS)) for f in rng.sample(GERMAN_PARTS, 3)) + "." for _ in range(8)) for _ in range(60)]
     return W.local_lexicon(corpus + list(STUFFED.values()) * 2 + [None, ""])
 
 
