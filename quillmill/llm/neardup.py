@@ -1,12 +1,18 @@
-"""Near-duplicates with small edits: a parity-sketch join, verified, and the groups that it connects.
-
-A text is the set of its word triples. Its parity sketch XORs one hashed bit a triple into 256 bits, so two
-sketches differ in at most as many bits as the sets differ in elements: the Hamming distance is a lower bound
-of the symmetric difference. With similarity t, sets of sizes a and b may differ in at most
-(1-t)/(1+t) * (a+b) elements, and of one set of size a at most a - ceil(t*a) elements may be missing in the
-other. By the pigeonhole principle any a - ceil(t*a) + 1 elements of a set then hold a common one; the rarest
-are taken, the smaller set of a pair needing only those that its size band allows. The join on these positions
-compares size bands and sketches inside the join, and what passes is verified exactly. No link is lost.
+"""Near-duplicates with small edits: parity sketches, joined by the pigeonhole principle in size bands, and verified.
+
+A text is the set of its word triples. Its parity sketch XORs the hashes of the triples into blocks, a triple into
+the block that its hash names. A triple that only one of two texts has changes one block at most, so if two texts
+differ in fewer triples than the sketch has blocks, a block agrees: the pigeonhole. How many blocks a sketch has
+follows from the size band of the larger text (about four triples a block), and band, block and value are the key on
+which texts meet. So every pair meets whose symmetric difference is below a quarter of its band's size (similarity
+0.8 and more). All texts of a key are linked to its smallest one only, not to each other, and the links verified:
+a cluster of any size costs one link a text and block.
+
+What is left are links between the components found so far, of similarity t to 0.8 or lost to a star's centre.
+There the blocks are single triples (the sketch at its finest), of which a set must show n - ceil(t*n) + 1, in an
+order that puts triples first that only one component has: those meet nothing and aren't sent. A 256-bit parity
+sketch, whose Hamming distance bounds the symmetric difference from below, prunes inside that join, pairs within a
+component are left out, and what passes is verified exactly. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.llm.shingles import Levels, _firsts, count_levels, seq_arrays, shingle_rows
+from quillmill.llm.shingles import Levels, _firsts, count_levels, mix, seq_arrays, shingle_rows
+from quillmill.llm.skew import join_hot
 from quillmill.session import cut
 
-WORDS = 4  #: 64-bit words of a sketch
+WORDS = 4  #: 64-bit words of the sketch that is compared bit by bit
+BLOCK_TRIPLES = 4  #: triples a block of the sketch whose blocks are joined
 
 
 def sketches(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -49,41 +57,94 @@ def kept_small(n: Column, t: float) -> Column:
     return n - F.ceil(F.lit(2 * t / (1 + t)) * n - F.lit(1e-9)) + F.lit(1)
 
 
+def band_of(n: np.ndarray) -> np.ndarray:
+    """Size band: half a power of two wide."""
+    return np.floor(2 * np.log2(np.maximum(n, 1)) + 1e-9).astype(np.int64)
+
+
+def blocks_of(band: np.ndarray) -> np.ndarray:
+    """Blocks of the sketches of a band: one for every BLOCK_TRIPLES triples of its smallest set."""
+    return np.maximum(np.ceil(2 ** (band / 2) / BLOCK_TRIPLES).astype(np.int64), 2)
+
+
+def block_keys(classes: DataFrame) -> DataFrame:
+    """(key, cls): band, block and value of every block that is not empty, of a set's own band and of the next.
+
+    A pair meets in the band of its larger set, so the smaller one also shows itself in the band that it could reach
+    with the difference that the pigeonhole allows (it is never two bands away).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, _, owner = seq_arrays(b.column(1))
+            first = _firsts(owner, h)
+            h, owner = h[first], owner[first]
+            n = np.bincount(owner, minlength=b.num_rows)
+            keys, rows = [], []
+            for up in (0, 1):
+                band = band_of(n) + up
+                blocks = blocks_of(band)
+                here = np.ones(len(n), dtype=bool) if not up else band_of(n + blocks - 1) >= band
+                take = here[owner]
+                x, o = h[take], owner[take]
+                if not len(x):
+                    continue
+                block = ((mix(x ^ np.uint64(0xA5A5)) >> np.uint64(32)) * blocks[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                cell = o * np.int64(1 << 20) + block
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+                at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+                value = np.bitwise_xor.reduceat(x[order], at)
+                row = cell[at] >> 20
+                keys.append(mix(value ^ mix((band[row] * (1 << 20) + (cell[at] & 0xFFFFF) + 1).astype(np.uint64))))
+                rows.append(row)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(pa.array(np.concatenate(rows)))], names=["key", "cls"])
+
+    return classes.select("cls", "seq").mapInArrow(run, "key bigint, cls bigint")
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """(a, b): the smallest set of each key with every other set of that key, distinct."""
+    centres = keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("__top")).where("a <> __top").select(F.col("key").alias("__k"), "a")
+    return keys.join(centres, F.col("key") == F.col("__k")).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+
+
 def postings(classes: DataFrame, levels: Levels, t: float) -> DataFrame:
-    """(token, cls, n, rank, s0..s3): the rarest elements of each set, with its size and sketch."""
+    """(token, cls, part, n, rank, s0..s3): the elements that each set must show, with its component, size and sketch."""
     shared = classes.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = shared.value
         for b in batches:
-            h, _, owner = seq_arrays(b.column(1))
+            h, _, owner = seq_arrays(b.column(2))
             first = _firsts(owner, h)
             h, owner = h[first], owner[first]
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
             if not len(starts):
                 continue
             n = np.diff(np.concatenate((starts, [len(h)])))
-            s = sketches(h, starts)
             level = lv.of(h)
             order = np.lexsort((h, level, owner))
             rank = np.arange(len(h)) - np.repeat(starts, n)
-            # a counter of one or none means that no other set has the element
+            # level 0: no other component has the element
             take = (rank < np.repeat(kept(n, t), n)) & (level[order] > 0)
             row = owner[order][take]
             at = np.searchsorted(owner[starts], row)
-            cls = b.column(0).to_numpy()[row]
-            cols = [h[order][take].view(np.int64), cls, n[at].astype(np.int32), rank[take].astype(np.int32), *(x[at] for x in s)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "cls", "n", "rank", *(f"s{k}" for k in range(WORDS))])
+            s = sketches(h, starts)
+            cols = [h[order][take].view(np.int64), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], n[at].astype(np.int32), rank[take].astype(np.int32), *(x[at] for x in s)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "cls", "part", "n", "rank", *(f"s{k}" for k in range(WORDS))])
 
-    return classes.select("cls", "seq").mapInArrow(run, "token bigint, cls bigint, n int, rank int, " + ", ".join(f"s{k} bigint" for k in range(WORDS)))
+    return classes.select("cls", "part", "seq").mapInArrow(run, "token bigint, cls bigint, part bigint, n int, rank int, " + ", ".join(f"s{k} bigint" for k in range(WORDS)))
 
 
 def candidates(rows: DataFrame, t: float) -> DataFrame:
-    """(a, b): distinct pairs of sets that share a shown position and whose sizes and sketches allow t."""
+    """(a, b): distinct pairs of sets of two components that share a shown element and whose sizes and sketches allow t."""
     a, b = rows.alias("a"), rows.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     on = (
         (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.part") != F.col("b.part"))
         & ((na < nb) | ((na == nb) & (F.col("a.cls") < F.col("b.cls"))))
         & (na >= F.lit(t) * nb - F.lit(1e-9))
         & (F.col("a.rank") < kept_small(na, t))
@@ -122,7 +183,22 @@ def text_classes(tasks: DataFrame, keep: list[str], text_col: str) -> tuple[Data
     return rows.select(*keep, "cls").distinct(), cut(rows.select("cls", "n", "seq").dropDuplicates(["cls"]), "classes")
 
 
-def near_groups(tasks: DataFrame, id_col: str, text_col: str, t: float, bits: int = 21) -> DataFrame:
+def near_components(classes: DataFrame, t: float, bits: int | None = None) -> DataFrame:
+    """(cls, part): the component of every set under pairs of similarity of at least t, named by a set of it."""
+    met = cut(verified(cut(stars(block_keys(classes)), "stars"), classes, t).select("a", "b"), "star-links")
+    dense = connected_components(met)
+    parted = classes.join(dense, classes["cls"] == dense["node"], "left").select("cls", "seq", F.coalesce("root", "cls").alias("part"))
+    parted = cut(parted, "parted")
+    levels = count_levels(parted, "part", bits)
+    across = cut(verified(cut(candidates(postings(parted, levels, t), t), "candidates"), classes, t).select("a", "b"), "links")
+    parts = parted.select("cls", "part")
+    pa_, pb = parts.select(F.col("cls").alias("__x"), F.col("part").alias("u")), parts.select(F.col("cls").alias("__y"), F.col("part").alias("v"))
+    bridges = across.join(pa_, F.col("a") == F.col("__x")).join(pb, F.col("b") == F.col("__y")).select("u", "v").distinct()
+    joined = connected_components(bridges).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    return parts.join(joined, parts["part"] == F.col("__n"), "left").select("cls", F.coalesce("__r", "part").alias("part"))
+
+
+def near_groups(tasks: DataFrame, id_col: str, text_col: str, t: float, bits: int | None = None) -> DataFrame:
     """(id, group_id): records whose texts are connected by pairs of similarity of at least t.
 
     Only records with a similar or equal other record have a row; group_id is the smallest id of the group.
@@ -130,14 +206,10 @@ def near_groups(tasks: DataFrame, id_col: str, text_col: str, t: float, bits: in
     class, so copies cost nothing however many there are.
     """
     members, classes = text_classes(tasks.where(F.col(id_col).isNotNull()), [id_col], text_col)
-    levels = count_levels(classes, bits)
-    pairs = cut(candidates(postings(classes, levels, t), t), "candidates")
-    edges = verified(pairs, classes, t).select("a", "b")
-    roots = connected_components(edges)
-    joined = members.join(roots, members["cls"] == roots["node"], "left").select(id_col, F.coalesce("root", "cls").alias("root"))
-    named = cut(joined.distinct(), "near-members")
+    parts = near_components(classes, t, bits).select(F.col("cls").alias("__c"), "part")
+    named = cut(members.join(parts, members["cls"] == F.col("__c")).select(id_col, F.col("part").alias("root")).distinct(), "near-members")
     names = named.groupBy("root").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    return named.join(names.select(F.col("root").alias("__r"), "group_id"), F.col("root") == F.col("__r")).select(id_col, "group_id")
+    return join_hot(named, "root", names, "root", "__n").select(id_col, "group_id")
 
 
 def group_pairs(members: DataFrame, id_col: str) -> DataFrame:

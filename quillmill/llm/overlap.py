@@ -2,7 +2,8 @@
 
 Of every window of WINDOW consecutive word triples the smallest rolling hash is a fingerprint, so two texts
 with a common run of WINDOW triples share one. Smallest means rarest first: the order is (level of a count
-sketch, hash), the same for all texts. A window may hold common triples only; its fingerprint is then too
+sketch, hash), the same for all texts; triples that only one side has come first of all, since windows that hold one
+lie in no common run, and aren't sent. A window may hold common triples only; its fingerprint is then too
 common to join on, and the text shows instead its n - ceil(t*n) + 1 rarest triples, of which two texts of
 similarity t always share one, so nothing is dropped. Sizes and parity sketches (see neardup), which bound the
 difference of two texts from below, are compared inside the join. Texts whose triples repeat show those as well, since
@@ -17,6 +18,7 @@ the longest common run has at least c / (0.107 c + 1) >= 5 triples for texts of
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from quillmill.llm.shingles import Levels, _firsts, count_levels, seq_arrays, sh
 from quillmill.session import cut
 
 WINDOW = 4
-HOT_LEVEL = 6  #: triples in 2**6 texts or more are too common to join on
+HOT_LEVEL = 6  #: triples in 2**6 texts or more, beyond what collisions add, are too common to join on
 
 
 def winnow(key: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -61,8 +63,13 @@ def order_keys(h: np.ndarray, levels: Levels) -> np.ndarray:
 
 
 def fingerprints(classes: DataFrame, levels: Levels, t: float, hot_level: int = HOT_LEVEL) -> DataFrame:
-    """(fp, cls, n, place, training, s0..s3): the fingerprints of every text, with its size and parity sketch."""
+    """(fp, cls, n, place, training, s0..s3): the fingerprints of every text, with its size and parity sketch.
+
+    A fingerprint stands at the first place of its triple in a text, so a pair of texts has one seed a fingerprint.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(levels)
+    # what the sketch's collisions add to every counter makes nothing hot
+    bound = hot_level + int(np.ceil(np.log2(1 + levels.load)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = shared.value
@@ -71,20 +78,29 @@ def fingerprints(classes: DataFrame, levels: Levels, t: float, hot_level: int =
             key = order_keys(h, lv)
             n = b.column(1).to_numpy()
             chosen = winnow(key, owner)
-            hot = lv.of(h[chosen]) >= hot_level
+            hot = lv.of(h[chosen]) >= bound
             full = np.zeros(b.num_rows, dtype=bool)  # texts that show their rarest triples too
             full[owner[chosen[hot]]] = True
             full |= np.diff(offsets) > n
             first = _firsts(owner, h)
             once = np.flatnonzero(np.concatenate(([True], np.diff(owner[first]) != 0))) if len(first) else np.empty(0, np.int64)
             sketch = sketches(h[first], once) if len(first) else [np.empty(0, np.int64)] * WORDS
+            stands = np.zeros(len(h), dtype=bool)
+            stands[first] = True
             first = first[full[owner[first]]]
             first = first[np.lexsort((key[first], owner[first]))]
             o = owner[first]
             begin = np.searchsorted(o, o, "left")
             rarest = first[np.arange(len(o)) - begin < n[o] - np.ceil(t * n[o] - 1e-9).astype(np.int64) + 1]
-            at = np.unique(np.concatenate([chosen[~hot], rarest]))
-            at = at[lv.of(h[at]) > 0]  # a counter of one: no other text has it
+            picked = chosen[~hot]
+            if len(picked) and not stands[picked].all():  # a repeated triple: its first place stands for it
+                order = np.lexsort((np.arange(len(h)), h, owner))
+                new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])))
+                lead = np.empty(len(h), dtype=np.int64)
+                lead[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+                picked = lead[picked]
+            at = np.unique(np.concatenate([picked, rarest]))
+            at = at[lv.of(h[at]) > 0]  # only one side has it
             row = owner[at]
             cols = [h[at].view(np.int64), b.column(0).to_numpy()[row], n[row], (at - offsets[row]).astype(np.int32), np.asarray(b.column(2))[row], *(x[row] for x in sketch)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["fp", "cls", "n", "place", "training", *(f"s{k}" for k in range(WORDS))])
@@ -94,22 +110,22 @@ def fingerprints(classes: DataFrame, levels: Levels, t: float, hot_level: int =
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of seeds that ascend in both texts; ties go to the earlier seeds."""
-    seeds = sorted(set(seeds))
-    best: list[int] = []
+    """A longest chain of seeds that ascend in both texts (a longest increasing subsequence, in n log n)."""
+    order = sorted(set(seeds), key=lambda s: (s[0], -s[1]))  # of seeds at one place only one can be taken
+    tops: list[int] = []  # smallest end of a chain of each length
+    at: list[int] = []
     back: list[int] = []
-    for i, (x, y) in enumerate(seeds):
-        top, at = 0, -1
-        for j in range(i):
-            if seeds[j][0] < x and seeds[j][1] < y and best[j] > top:
-                top, at = best[j], j
-        best.append(top + 1)
-        back.append(at)
-    if not seeds:
-        return []
-    i, out = int(np.argmax(best)), []
+    for i, (_, y) in enumerate(order):
+        k = bisect_left(tops, y)
+        if k == len(tops):
+            tops.append(y)
+            at.append(i)
+        else:
+            tops[k], at[k] = y, i
+        back.append(at[k - 1] if k else -1)
+    out, i = [], at[-1] if at else -1
     while i >= 0:
-        out.append(seeds[i])
+        out.append(order[i])
         i = back[i]
     return out[::-1]
 
@@ -156,7 +172,7 @@ def aligned(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint, similarity double, cover_a double, cover_b double")
 
 
-def cross_split(records: DataFrame, id_col: str, text_col: str, training_col: str, t: float = 0.7, bits: int = 21) -> DataFrame:
+def cross_split(records: DataFrame, id_col: str, text_col: str, training_col: str, t: float = 0.7, bits: int | None = None) -> DataFrame:
     """(train_id, eval_id, similarity, train_cover, eval_cover): overlaps of training with evaluation records.
 
     ``training_col`` is true for training, false for evaluation; records with null belong to neither. Null,
@@ -168,7 +184,7 @@ def cross_split(records: DataFrame, id_col: str, text_col: str, training_col: st
     rows = cut(shingle_rows(src, ["__id", "training"], "__t"), "overlap-rows")
     members = rows.select("__id", "training", "cls").distinct()
     classes = cut(rows.select("cls", "n", "training", "seq").dropDuplicates(["cls", "training"]), "overlap-classes")
-    levels = count_levels(classes, bits)
+    levels = count_levels(classes.withColumn("side", F.col("training").cast("int").cast("bigint")), "side", bits)
     fps = fingerprints(classes, levels, t)
     a, b = fps.where("training").alias("a"), fps.where("not training").alias("b")
     na, nb = F.col("a.n"), F.col("b.n")

@@ -88,47 +88,76 @@ def shingle_rows(df: DataFrame, keep: list[str], text_col: str, min_words: int =
 
 
 class Levels:
-    """How common a shingle is, as a power of two, from a count sketch of fixed size.
+    """How common a shingle is, as a power of two, from a count sketch; 0 where only one group of texts has it.
 
-    The sketch has 2**bits counters whatever the input, so its size is bounded. Every shingle has one level
-    everywhere, so (level, hash) is one total order of all shingles, which is all that the joins rely on;
-    collisions can make a rare shingle look common, never change a result.
+    The sketch has 2**bits counters, each with a count and with the smallest and the largest group seen there.
+    Every shingle has one level everywhere, so (level, hash) is one total order of all shingles, which is all that
+    the joins rely on. Collisions can make a rare shingle look common, or one of a single group look shared; that
+    costs time, never a result. ``load`` is the mean count of a counter: how much of a level is collisions.
     """
 
-    def __init__(self, levels: np.ndarray, bits: int) -> None:
-        self.levels, self.shift = levels, np.uint64(64 - bits)
+    def __init__(self, levels: np.ndarray, bits: int, load: float = 0.0) -> None:
+        self.levels, self.shift, self.load = levels, np.uint64(64 - bits), load
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Level of each hash."""
         return self.levels[(h >> self.shift).astype(np.int64)]
 
-    def order(self, h: np.ndarray) -> np.ndarray:
-        """Permutation that sorts hashes from rare to common, equals by hash."""
-        return np.lexsort((h, self.of(h)))
 
+MIN_BITS, MAX_BITS = 16, 25  #: counters of a sketch; 2**25 one-byte levels are the most that is broadcast
 
-def count_levels(classes: DataFrame, bits: int = 20) -> Levels:
-    """Levels from the distinct shingles of every row of ``classes`` (column seq); counts all rows.
 
-    Each task adds up its rows into one array of 2**bits counters, so at most that many (bucket, count) rows
-    leave a task, and at most 2**bits rows, 12 bytes each, reach the driver.
+def count_levels(classes: DataFrame, group: str, bits: int | None = None) -> Levels:
+    """Levels from the distinct shingles of every row of ``classes`` (seq, and ``group``, a bigint); counts all rows.
+
+    Without ``bits`` the sketch has two counters for each shingle, within MIN_BITS and MAX_BITS. Counts are added up
+    in every task first. Only (bucket, level) of buckets with several groups reach the driver, five bytes each.
     """
+    total = int(classes.agg(F.sum(F.size("seq"))).first()[0] or 0)
+    if bits is None:
+        bits = min(MAX_BITS, max(MIN_BITS, (2 * total).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
+        counts: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            b, c, lo, hi = _merged(counts)
+            return pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(c), pa.array(lo), pa.array(hi)], names=["b", "c", "lo", "hi"])
+
         for b in batches:
             h, _, owner = seq_arrays(b.column(0))
-            once = h[_firsts(owner, h)]
-            counts += np.bincount((once >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["b", "c"])
-
-    total = classes.select("seq").mapInArrow(run, "b int, c bigint").groupBy("b").agg(F.sum("c").alias("c")).where("c > 1")
-    got = total.toArrow()
+            first = _firsts(owner, h)
+            bucket = (h[first] >> np.uint64(64 - bits)).astype(np.int64)
+            who = b.column(1).to_numpy()[owner[first]]
+            counts.append((bucket, np.ones(len(bucket), dtype=np.int64), who, who))
+            size += len(bucket)
+            if size >= 4_000_000:
+                counts = [_merged(counts)]
+                size = len(counts[0][0])
+                if size >= 2_000_000:
+                    yield rows()
+                    counts, size = [], 0
+        if counts:
+            yield rows()
+
+    summed = classes.select("seq", group).mapInArrow(run, "b int, c bigint, lo bigint, hi bigint").groupBy("b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    got = summed.where("lo <> hi").select("b", F.floor(F.log2("c")).cast("tinyint").alias("l")).toArrow()
     levels = np.zeros(1 << bits, dtype=np.uint8)
     if got.num_rows:
-        levels[got.column("b").to_numpy()] = np.floor(np.log2(got.column("c").to_numpy())).astype(np.uint8)
-    return Levels(levels, bits)
+        levels[got.column("b").to_numpy()] = np.maximum(got.column("l").to_numpy(), 1)
+    return Levels(levels, bits, total / (1 << bits))
+
+
+def _merged(counts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts, smallest and largest groups by bucket."""
+    b, c, lo, hi = (np.concatenate(x) for x in zip(*counts))
+    if not len(b):
+        return b, c, lo, hi
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    return b[at], np.add.reduceat(c[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
 
 
 def _firsts(owner: np.ndarray, h: np.ndarray) -> np.ndarray:

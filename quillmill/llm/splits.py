@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import forests, merge_forests
+from quillmill.llm.skew import join_hot
 from quillmill.operators.ranking import rank_within
 from quillmill.session import cut
 
@@ -69,8 +70,8 @@ def groups(tasks: DataFrame, id_col: str, skills_col: str, sources_col: str) ->
     labels = merge_forests(key_forests(records), partitions=64)
     keyed = records.where(F.size("keys") > 0).select("__id", "skill", F.element_at("keys", 1).alias("__node"))
     rooted = cut(keyed.join(labels, keyed["__node"] == labels["node"]).select("__id", "skill", "root"), "rooted")
-    names = rooted.groupBy("root").agg(F.coalesce(F.min("skill"), F.min("__id")).alias("group_id"))
-    linked = rooted.join(names.withColumnRenamed("root", "__r"), F.col("root") == F.col("__r")).select("__id", "group_id")
+    names = cut(rooted.groupBy("root").agg(F.coalesce(F.min("skill"), F.min("__id")).alias("group_id"), F.count(F.lit(1)).alias("__n")), "group-names")
+    linked = join_hot(rooted, "root", names, "root", "__n").select("__id", "group_id")
     alone = records.where(F.size("keys") == 0).select("__id", F.col("__id").alias("group_id"))
     # an id delivered again with the same keys has one group; min makes the row unique in any case
     return linked.unionByName(alone).groupBy(F.col("__id").alias(id_col)).agg(F.min("group_id").alias("group_id"))
@@ -127,5 +128,5 @@ def assign(members: DataFrame, id_col: str, shares: dict[str, float]) -> DataFra
     buckets = max(1, max(histogram.values(), default=0) // BUCKET_ROWS)
     ranked = rank_within(sizes, "size", "group_id", F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("int"))
     fits = (ranked["size"] == plan["__size"]) & (ranked["rank"] >= plan["first_rank"]) & (ranked["rank"] < plan["first_rank"] + plan["n"])
-    placed = ranked.join(plan, fits).select(F.col("group_id").alias("__g"), "split")
-    return members.join(placed, F.col("group_id") == F.col("__g")).select(id_col, "split")
+    placed = cut(ranked.join(plan, fits).select("group_id", "split", F.col("size").alias("__n")), "group-splits")
+    return join_hot(members, "group_id", placed, "group_id", "__n").select(id_col, "split")

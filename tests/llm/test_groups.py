@@ -201,3 +201,70 @@ def test_chain_and_cover():
     a, b = np.arange(10).astype(np.uint64), np.concatenate([np.arange(4), [99], np.arange(5, 10)]).astype(np.uint64)
     assert O.covered(a, b, [(1, 1), (7, 7)]) == (9, 9)
     assert O.covered(a, b, []) == (0, 0)
+
+
+def test_a_cluster_of_templates_is_linear(spark):
+    """Texts that differ in one number: links and candidates grow with the texts, not with their pairs."""
+    base = " ".join(f"w{i}" for i in range(60))
+    for n in (100, 400):
+        df = spark.createDataFrame([(f"r{i:04d}", f"{base} {i} end of text number {i}") for i in range(n)], "id string, text string").repartition(4)
+        _, classes = N.text_classes(df, ["id"], "text")
+        links = N.stars(N.block_keys(classes)).count()
+        assert n - 1 <= links <= 3 * n
+        parts = N.near_components(classes, 0.5)
+        assert parts.count() == n and parts.select("part").distinct().count() == 1
+        levels = N.count_levels(classes.withColumn("part", F.lit(1).cast("bigint")), "part")
+        assert N.candidates(N.postings(classes.withColumn("part", F.lit(1).cast("bigint")), levels, 0.5), 0.5).count() == 0
+
+
+def test_pigeonhole_finds_every_close_pair(spark):
+    """Pairs whose difference is below the blocks of their band always share a key."""
+    rng = np.random.default_rng(4)
+    rows, pairs = [], []
+    for i in range(300):
+        n = int(rng.integers(12, 200))
+        a = rng.integers(-(2**62), 2**62, n)
+        room = int(N.blocks_of(N.band_of(np.array([n])))[0]) - 1
+        d = int(rng.integers(0, max(1, room // 2) + 1))
+        b = np.concatenate([a[d:], rng.integers(-(2**62), 2**62, d)])
+        rows += [(2 * i, n, a.tolist()), (2 * i + 1, n, b.tolist())]
+        if 2 * d <= room:
+            pairs.append((2 * i, 2 * i + 1))
+    classes = spark.createDataFrame(rows, "cls bigint, n int, seq array<bigint>")
+    keys = N.block_keys(classes).toPandas().groupby("cls")["key"].agg(set)
+    assert pairs and all(keys[a] & keys[b] for a, b in pairs)
+    met = {(r["a"], r["b"]) for r in N.stars(N.block_keys(classes)).collect()}
+    assert all(p in met for p in pairs)
+
+
+def test_collisions_make_nothing_hot(spark):
+    """However small the sketch, fingerprints are joined on as before and the result is the same."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+        rows.append((f"a{i}", " ".join(words), True))
+        words[int(rng.integers(0, 40))] = "changed"
+        rows.append((f"b{i}", " ".join(words), False))
+    df = spark.createDataFrame(rows, "id string, text string, training boolean")
+    want = {(r["train_id"], r["eval_id"]) for r in O.cross_split(df, "id", "text", "training", 0.7).collect()}
+    small = {(r["train_id"], r["eval_id"]) for r in O.cross_split(df, "id", "text", "training", 0.7, bits=4).collect()}
+    assert want == small and len(want) >= 140
+    _, classes = N.text_classes(df, ["id", "training"], "text")
+    sided = O.shingle_rows(df, ["id", "training"], "text").withColumn("side", F.col("training").cast("int").cast("bigint"))
+    shares = []
+    for bits in (16, 4):
+        levels = O.count_levels(sided, "side", bits)
+        bound = O.HOT_LEVEL + int(np.ceil(np.log2(1 + levels.load)))
+        shares.append((levels.levels >= bound).mean())
+    assert shares == [0.0, 0.0]
+
+
+def test_hot_join_is_whole(spark):
+    from quillmill.llm.skew import join_hot
+
+    left = spark.createDataFrame([(i, 0 if i % 3 == 0 else i, "x") for i in range(300)], "id int, k int, group_id string")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    out = join_hot(left, "k", right, "k", "n", hot_rows=50)
+    assert out.count() == 300 and out.columns == ["id", "k", "group_id", "least"] and out.where("k = 0 and least <> 0").count() == 0
+    assert join_hot(left.limit(0), "k", right.limit(0), "k", "n").count() == 0
