@@ -1,52 +1,104 @@
 """Test passages inside a corpus: greedy string tiling over shared word triples.
 
-Seeds are the triples that a text shares with a test question, found by the rolling hash of every triple of
-the text (Karp-Rabin). For each (text, question) with enough shared triples, matches are marked greedily from
-the longest down, never overlapping in either text, so reordered parts of a passage are all found; a pair
-counts if the share of the question's distinct triples reaches the threshold.
+A text that holds half of a question's triples holds one of any n - ceil(n/2) + 1 of them. So each question shows
+that many, those first that the fewest questions have: what many questions of one template share comes last and
+makes no seeds. Shown triples are gathered as a bitmap of bounded size; one narrow pass over the corpus hashes every
+run of three words (Karp-Rabin) and keeps the texts that have a shown triple. Their triples are then joined with
+the shown ones, by broadcast where these are proven few, else by a shuffle with every key split; each pair of a text
+and a question that meets is tiled: matches are marked greedily from the longest down, never overlapping in either
+text, so reordered parts of a passage are all found, and the pair counts if the share of the question's distinct
+triples reaches the threshold. Neither questions nor seeds go to the driver.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.encode import chunks
-from quillmill.llm.shingles import WIDTH, shingle_texts
+from quillmill.llm.shingles import WIDTH, seq_arrays, shingle_rows, shingle_texts
+from quillmill.session import cut
 
-MAX_INDEX_TRIPLES = 4_000_000  #: most test triples (about 50 MB) that one broadcast index holds
+BROADCAST_ROWS = 2_000_000  #: shown triples, or tiled pairs, up to which a side is broadcast (about 100 MB)
+MAX_BITS = 27  #: the bitmap of shown triples has at most 2**27 bits, 16 MB
+SALTS = 16  #: parts that every triple is split into when it is joined by a shuffle
 
 
-class TestIndex:
-    """Triples of the test questions: hash to (question, place), sorted by hash."""
+def shown_triples(tests: DataFrame, share: float) -> DataFrame:
+    """(triple, test): the triples that each test (cls, n, seq) must show, those of the fewest tests first."""
+    each = tests.select("cls", "n", F.explode(F.array_distinct("seq")).alias("triple"))
+    counts = each.groupBy("triple").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("cls").orderBy("often", "triple")
+    ranked = each.join(counts.withColumnRenamed("triple", "__t"), F.col("triple") == F.col("__t")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1).select("triple", F.col("cls").alias("test"))
 
-    __test__ = False
 
-    def __init__(self, texts: list[str | None]) -> None:
-        h, n, _ = shingle_texts(texts)
-        owner = np.repeat(np.arange(len(texts)), n)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.argsort(h, kind="stable")
-        self.h, self.owner, self.place, self.n = h[order], owner[order].astype(np.int32), place[order].astype(np.int32), n
-        stop = np.cumsum(n)
-        self.distinct = np.array([len(np.unique(h[s - k : s])) for s, k in zip(stop, n)], dtype=np.int64)
-        self.seqs = [h[s - k : s] for s, k in zip(stop, n)]
+class Shown:
+    """A bitmap of triples, 32 bits or more for each; one bit a triple, so it may say yes wrongly, never no."""
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in h, place in the index) of every equal pair of hashes."""
-        if not len(self.h):
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        lo = np.searchsorted(self.h, h, "left")
-        there = np.flatnonzero(self.h[np.minimum(lo, len(self.h) - 1)] == h)
-        lo = lo[there]
-        n = np.searchsorted(self.h, h[there], "right") - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(there, n), at
+    def __init__(self, words: np.ndarray, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes may be shown."""
+        at = h >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def bitmap(shown: DataFrame, n: int) -> Shown:
+    """The bitmap of the column triple of ``n`` rows, put together by word; at most 2**(MAX_BITS - 6) words come back."""
+    bits = min(MAX_BITS, max(12, (32 * n).bit_length()))
+    at = F.shiftrightunsigned("triple", 64 - bits)
+    words = shown.groupBy(F.shiftrightunsigned(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(triple, {64 - bits}) & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    if words.num_rows:
+        out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return Shown(out, bits)
+
+
+def candidate_texts(corpus: DataFrame, keep: list[str], text_col: str, shown: Shown) -> DataFrame:
+    """(keep..., cls, seq, seeds) of the texts that may have a shown triple; one narrow pass over the corpus."""
+    shared = corpus.sparkSession.sparkContext.broadcast(shown)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in chunks(b.column(b.num_columns - 1).to_pylist()):
+                h, n, _ = shingle_texts(texts)
+                hit = shared.value.has(h)
+                owner = np.repeat(np.arange(len(texts)), n)
+                rows = np.unique(owner[hit])
+                if not len(rows):
+                    continue
+                begin = np.cumsum(n) - n
+                parts = [h[begin[i] : begin[i] + n[i]] for i in rows]
+                seeds = [np.unique(x[shared.value.has(x)]) for x in parts]
+                lists = lambda xs: pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs])))), pa.array(np.concatenate(xs).view(np.int64))).cast(pa.list_(pa.int64()))
+                cls = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in parts], dtype=np.uint64).view(np.int64)
+                kept = b.select(list(range(b.num_columns - 1))).take(pa.array(rows + first))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cls), lists(parts), lists(seeds)], names=[*keep, "cls", "seq", "seeds"])
+
+    kinds = ", ".join(f"`{k}` {corpus.schema[k].dataType.simpleString()}" for k in keep)
+    src = corpus.select(*[corpus[k] for k in keep], corpus[text_col].alias("__text"))
+    return src.mapInArrow(run, f"{kinds}, cls bigint, seq array<bigint>, seeds array<bigint>")
+
+
+def seed_pairs(texts: DataFrame, shown: DataFrame, n_shown: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(cls, test): pairs of a text and a test with a shown triple in common."""
+    seeds = texts.select("cls", F.explode("seeds").alias("seed"))
+    if n_shown <= broadcast_rows:
+        met = seeds.join(F.broadcast(shown), F.col("seed") == F.col("triple"))
+    else:
+        # a triple that a third of the texts have is met in SALTS parts
+        salted = shown.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        met = seeds.withColumn("__salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, (F.col("seed") == F.col("triple")) & (F.col("__salt") == F.col("salt")))
+    return met.select("cls", "test").distinct()
 
 
 def tiles(a: np.ndarray, b: np.ndarray, starts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -71,8 +123,6 @@ def tiles(a: np.ndarray, b: np.ndarray, starts: list[tuple[int, int]]) -> list[t
         runs.append((last - first + 1, first, first + d))
     runs.sort(key=lambda r: (-r[0], r[1], r[2]))
     free_a, free_b, out = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool), []
-    import heapq
-
     heap = [(-n, i, j) for n, i, j in runs]
     heapq.heapify(heap)
     while heap:
@@ -91,66 +141,54 @@ def tiles(a: np.ndarray, b: np.ndarray, starts: list[tuple[int, int]]) -> list[t
     return out
 
 
-def leaked(corpus: DataFrame, tests: DataFrame, keep: list[str], text_col: str, test_id: str, test_text: str, share: float = 0.5) -> DataFrame:
-    """(keep..., test_id, triples, shared, tile_words): texts holding at least ``share`` of a question's triples.
-
-    One narrow pass over the corpus: the index of the test questions is broadcast, in blocks of at most
-    ``MAX_INDEX_TRIPLES`` triples if the test set is larger. Questions of fewer than three words (or null)
-    have no triple and are in no text; null and empty texts hold nothing. Every corpus row counts for itself.
-    """
-    rows = tests.select(F.col(test_id).alias("i"), F.col(test_text).alias("q")).distinct().orderBy("i", "q").toArrow()
-    ids, texts = rows.column("i").to_pylist(), rows.column("q").to_pylist()
-    blocks, first, held = [], 0, 0
-    for k, q in enumerate(texts):
-        held += len(q or "") // 2
-        if held > MAX_INDEX_TRIPLES:
-            blocks.append((first, k + 1))
-            first, held = k + 1, 0
-    blocks.append((first, len(texts)))
-    found = None
-    for lo, hi in blocks:
-        part = _scan(corpus, ids[lo:hi], TestIndex(texts[lo:hi]), keep, text_col, test_id, tests.schema[test_id].dataType.simpleString(), share)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _scan(corpus: DataFrame, ids: list, index: TestIndex, keep: list[str], text_col: str, test_id: str, id_kind: str, share: float) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, index))
-    need = np.ceil(share * index.distinct - 1e-9).astype(np.int64)
+def tiled(pairs: DataFrame, share: float) -> DataFrame:
+    """(cls, test, triples, shared, tile_words) of the pairs (cls, test, seq, test_seq) that reach the share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ix = shared.value
-        n_tests = len(names)
         for b in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for first, texts in chunks(b.column(b.num_columns - 1).to_pylist()):
-                h, n, _ = shingle_texts(texts)
-                owner = np.repeat(np.arange(len(texts)), n)
-                begin = np.cumsum(n) - n
-                at, to = ix.hits(h)
-                if not len(at):
+            ha, oa, _ = seq_arrays(b.column(2))
+            hb, ob, _ = seq_arrays(b.column(3))
+            out: list[tuple[int, int, int, int]] = []
+            for i in range(b.num_rows):
+                x, y = ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]]
+                known = np.unique(y)
+                need = max(1, int(np.ceil(share * len(known) - 1e-9)))
+                if len(np.intersect1d(np.unique(x), known, assume_unique=True)) < need:
                     continue
-                # distinct triples shared by each (text, question): the seeds' count
-                pair = owner[at] * n_tests + ix.owner[to]
-                order = np.lexsort((h[at], pair))
-                p, x = pair[order], h[at][order]
-                new = np.ones(len(p), dtype=bool)
-                new[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1])
-                pairs, count = np.unique(p[new], return_counts=True)
-                good = count >= np.maximum(need[pairs % n_tests], 1)
-                for q, c in zip(pairs[good].tolist(), count[good].tolist()):
-                    row, test = divmod(q, n_tests)
-                    seeds = order[np.searchsorted(p, q, "left") : np.searchsorted(p, q, "right")]
-                    places = list(zip((at[seeds] - begin[row]).tolist(), ix.place[to[seeds]].tolist()))
-                    text_seq = h[begin[row] : begin[row] + n[row]]
-                    marked = tiles(text_seq, ix.seqs[test], places)
-                    inside = {int(v) for _, j, k in marked for v in ix.seqs[test][j : j + k]}
-                    if len(inside) >= need[test]:
-                        out.append((first + row, test, int(ix.distinct[test]), len(inside), sum(k + WIDTH - 1 for _, _, k in marked)))
-            kept = b.select(list(range(b.num_columns - 1))).take(pa.array([o[0] for o in out], pa.int64()))
-            cols = [pa.array([names[o[1]] for o in out], pa.string() if id_kind == "string" else None), *(pa.array([o[k] for o in out], pa.int32()) for k in (2, 3, 4))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *cols], names=[*keep, test_id, "triples", "shared", "tile_words"])
+                order = np.argsort(y, kind="stable")
+                lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+                at = np.flatnonzero(hi > lo)
+                places = [(int(p), int(q)) for p in at for q in order[lo[p] : hi[p]]]
+                marked = tiles(x, y, places)
+                inside = {int(v) for _, j, k in marked for v in y[j : j + k]}
+                if len(inside) >= need:
+                    out.append((i, len(known), len(inside), sum(k + WIDTH - 1 for _, _, k in marked)))
+            rows = pa.array([o[0] for o in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3))], names=["cls", "test", "triples", "shared", "tile_words"])
 
-    kinds = ", ".join(f"`{k}` {corpus.schema[k].dataType.simpleString()}" for k in keep)
-    src = corpus.select(*[corpus[k] for k in keep], corpus[text_col].alias("__text"))
-    return src.mapInArrow(run, f"{kinds}, `{test_id}` {id_kind}, triples int, shared int, tile_words int")
+    return pairs.select("cls", "test", "seq", "test_seq").mapInArrow(run, "cls bigint, test bigint, triples int, shared int, tile_words int")
+
+
+def leaked(corpus: DataFrame, tests: DataFrame, keep: list[str], text_col: str, test_id: str, test_text: str, share: float = 0.5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(keep..., test_id, triples, shared, tile_words): texts holding at least ``share`` of a question's triples.
+
+    Questions of fewer than three words (or null) have no triple and are in no text; null and empty texts hold
+    nothing. Every corpus row counts for itself, equal texts and equal questions are compared once. The columns of
+    the result are named as given; a name of ``keep`` may not be cls, seq, seeds or test.
+    """
+    named = [f"__k{i}" for i in range(len(keep))]
+    src = corpus.select(*[corpus[k].alias(n) for k, n in zip(keep, named)], corpus[text_col].alias("__body"))
+    asked = cut(shingle_rows(tests.select(F.col(test_id).alias("__test"), F.col(test_text).alias("__q")), ["__test"], "__q", min_words=WIDTH), "tests")
+    questions = asked.select("cls", "n", "seq").dropDuplicates(["cls"])
+    shown = cut(shown_triples(questions, share), "shown")
+    n_shown = shown.count()
+    texts = cut(candidate_texts(src, named, "__body", bitmap(shown, n_shown)), "leak-texts")
+    met = cut(seed_pairs(texts.dropDuplicates(["cls"]), shown, n_shown, broadcast_rows), "leak-seeds")
+    sides = questions.select(F.col("cls").alias("__q"), F.col("seq").alias("test_seq"))
+    bodies = texts.select(F.col("cls").alias("__c"), "seq").dropDuplicates(["__c"])
+    full = met.join(bodies, F.col("cls") == F.col("__c")).join(sides, F.col("test") == F.col("__q"))
+    hits = cut(tiled(full, share), "leaks")
+    rows = texts.select(*named, F.col("cls").alias("__c"))
+    ids = asked.select(F.col("__test"), F.col("cls").alias("__q")).distinct()
+    out = hits.join(rows, F.col("cls") == F.col("__c")).join(ids, F.col("test") == F.col("__q"))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(named, keep)], F.col("__test").alias(test_id), "triples", "shared", "tile_words")

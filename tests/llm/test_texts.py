@@ -133,12 +133,27 @@ def test_leaks_equal_brute_force(spark):
     want = {(i, n) for i, d in docs for n, t in tests if t and triples(t) and len(triples(t) & triples(d)) * 2 >= len(triples(t))}
     corpus = spark.createDataFrame([(*d, "q") for d in docs], "id bigint, text string, triples string").repartition(3)
     known = spark.createDataFrame([(*t, 1) for t in tests], "test string, question string, id int")
-    out = L.leaked(corpus, known, ["id"], "text", "test", "question").collect()
-    assert {(r["id"], r["test"]) for r in out} == want and len(out) == len(want)
+    for limit in (10**6, 0):  # joined by broadcast, and by a shuffle of split keys
+        out = L.leaked(corpus, known, ["id"], "text", "test", "question", broadcast_rows=limit).collect()
+        assert {(r["id"], r["test"]) for r in out} == want and len(out) == len(want)
     assert L.leaked(corpus, known.limit(0), ["id"], "text", "test", "question").count() == 0
     assert L.leaked(corpus.limit(0), known, ["id"], "text", "test", "question").count() == 0
 
 
+def test_templated_tests_make_no_false_seeds(spark):
+    """A phrase that many tests share, in many texts: no seeds, unless it is half of a test."""
+    phrase = " ".join(f"p{i}" for i in range(10))
+    tests = [(f"t{i}", phrase + " " + " ".join(f"x{i}_{j}" for j in range(20))) for i in range(200)]
+    known = spark.createDataFrame(tests, "test string, question string")
+    rows = L.shingle_rows(known, ["test"], "question", min_words=3)
+    shown = L.shown_triples(rows.select("cls", "n", "seq"), 0.5)
+    n = shown.count()
+    corpus = spark.createDataFrame([(i, f"start {phrase} end {i}") for i in range(50)] + [(99, tests[7][1])], "id bigint, text string")
+    texts = L.candidate_texts(corpus, ["id"], "text", L.bitmap(shown, n))
+    assert L.seed_pairs(texts, shown, n).count() <= 5
+    assert [(r["id"], r["test"]) for r in L.leaked(corpus, known, ["id"], "text", "test", "question").collect()] == [(99, "t7")]
+
+
 def test_tiles_are_longest_first_and_disjoint():
     a, b = np.array([1, 2, 3, 4, 9, 1, 2]), np.array([1, 2, 8, 1, 2, 3, 4])
     starts = [(i, j) for i in range(7) for j in range(7) if a[i] == b[j]]
