@@ -2,8 +2,8 @@
 
 A text that holds half of a question's triples holds one of any n - ceil(n/2) + 1 of them. So each question shows
 that many, those first that the fewest questions have: what many questions of one template share comes last and
-makes no seeds. Shown triples are gathered as a bitmap of bounded size; one narrow pass over the corpus hashes every
-run of three words (Karp-Rabin) and keeps the texts that have a shown triple. Their triples are then joined with
+makes no seeds. Tables of bounded size hold which triples tests have and how many a shown one needs beside it; one narrow
+pass over the corpus hashes every run of three words (Karp-Rabin) and keeps the texts that may hold enough. Their triples are then joined with
 the shown ones, by broadcast where these are proven few, else by a shuffle with every key split; each pair of a text
 and a question that meets is tiled: matches are marked greedily from the longest down, never overlapping in either
 text, so reordered parts of a passage are all found, and the pair counts if the share of the question's distinct
@@ -23,62 +23,86 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.encode import chunks
-from quillmill.llm.shingles import WIDTH, seq_arrays, shingle_rows, shingle_texts
+from quillmill.llm.shingles import WIDTH, _firsts, seq_arrays, shingle_rows, shingle_texts
 from quillmill.session import cut
 
 BROADCAST_ROWS = 2_000_000  #: shown triples, or tiled pairs, up to which a side is broadcast (about 100 MB)
-MAX_BITS = 27  #: the bitmap of shown triples has at most 2**27 bits, 16 MB
+MAX_BITS, MAX_NEED_BITS = 27, 24  #: the tables of triples have at most 2**27 bits and 2**24 bytes, 16 MB each
 SALTS = 16  #: parts that every triple is split into when it is joined by a shuffle
 
 
 def shown_triples(tests: DataFrame, share: float) -> DataFrame:
-    """(triple, test): the triples that each test (cls, n, seq) must show, those of the fewest tests first."""
+    """(triple, test, n): the triples that each test (cls, n, seq) must show, those of the fewest tests first."""
     each = tests.select("cls", "n", F.explode(F.array_distinct("seq")).alias("triple"))
     counts = each.groupBy("triple").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("cls").orderBy("often", "triple")
     ranked = each.join(counts.withColumnRenamed("triple", "__t"), F.col("triple") == F.col("__t")).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1).select("triple", F.col("cls").alias("test"))
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1).select("triple", F.col("cls").alias("test"), "n")
 
 
 class Shown:
-    """A bitmap of triples, 32 bits or more for each; one bit a triple, so it may say yes wrongly, never no."""
+    """Bitmap of all triples of the tests, and for every shown triple the fewest triples that a test showing it needs.
 
-    def __init__(self, words: np.ndarray, bits: int) -> None:
-        self.words, self.bits = words, bits
+    Both are hashed into tables of a bounded size, so they may say yes wrongly or need too little, never the reverse.
+    """
+
+    def __init__(self, words: np.ndarray, bits: int, needs: np.ndarray, need_bits: int) -> None:
+        self.words, self.bits, self.needs, self.need_bits = words, bits, needs, need_bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        """Which hashes may be shown."""
+        """Which hashes may be triples of a test."""
         at = h >> np.uint64(64 - self.bits)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
+    def need(self, h: np.ndarray) -> np.ndarray:
+        """The fewest triples needed by a test that shows each hash; 255 where none does (or for 255 and more)."""
+        return self.needs[(h >> np.uint64(64 - self.need_bits)).astype(np.int64)]
+
 
-def bitmap(shown: DataFrame, n: int) -> Shown:
-    """The bitmap of the column triple of ``n`` rows, put together by word; at most 2**(MAX_BITS - 6) words come back."""
-    bits = min(MAX_BITS, max(12, (32 * n).bit_length()))
+def tables(tests: DataFrame, shown: DataFrame, n: int, share: float) -> Shown:
+    """The tables of the tests (cls, n, seq) and their ``n`` shown triples, put together before they reach the driver."""
+    bits = min(MAX_BITS, max(12, (64 * n).bit_length()))
+    every = tests.select(F.explode("seq").alias("triple"))
     at = F.shiftrightunsigned("triple", 64 - bits)
-    words = shown.groupBy(F.shiftrightunsigned(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(triple, {64 - bits}) & 63 as int))")).alias("m")).toArrow()
+    words = every.groupBy(F.shiftrightunsigned(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(triple, {64 - bits}) & 63 as int))")).alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     if words.num_rows:
         out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
-    return Shown(out, bits)
+    need_bits = min(MAX_NEED_BITS, max(12, (16 * n).bit_length()))
+    need = F.least(F.lit(254), F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)))
+    low = shown.groupBy(F.shiftrightunsigned("triple", 64 - need_bits).cast("int").alias("b")).agg(F.min(need).cast("smallint").alias("need")).toArrow()
+    needs = np.full(1 << need_bits, 255, dtype=np.uint8)
+    if low.num_rows:
+        needs[low.column("b").to_numpy()] = low.column("need").to_numpy()
+    return Shown(out, bits, needs, need_bits)
 
 
 def candidate_texts(corpus: DataFrame, keep: list[str], text_col: str, shown: Shown) -> DataFrame:
-    """(keep..., cls, seq, seeds) of the texts that may have a shown triple; one narrow pass over the corpus."""
+    """(keep..., cls, seq, seeds) of the texts that may hold enough of a test; one narrow pass over the corpus.
+
+    A text that holds enough of a test has a triple that the test shows, and as many triples of any tests as it needs.
+    """
     shared = corpus.sparkSession.sparkContext.broadcast(shown)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in chunks(b.column(b.num_columns - 1).to_pylist()):
                 h, n, _ = shingle_texts(texts)
-                hit = shared.value.has(h)
-                owner = np.repeat(np.arange(len(texts)), n)
-                rows = np.unique(owner[hit])
+                at = np.flatnonzero(shared.value.has(h))
+                owner = np.repeat(np.arange(len(texts)), n)[at]
+                known = h[at]
+                new = _firsts(owner, known)
+                owner, known = owner[new], known[new]  # distinct, by text
+                count = np.bincount(owner, minlength=len(texts))
+                need = shared.value.need(known)
+                seed = (need < 255) & (need <= np.minimum(count[owner], 254))
+                owner, known = owner[seed], known[seed]
+                rows, first_seed = np.unique(owner, return_index=True)
                 if not len(rows):
                     continue
                 begin = np.cumsum(n) - n
                 parts = [h[begin[i] : begin[i] + n[i]] for i in rows]
-                seeds = [np.unique(x[shared.value.has(x)]) for x in parts]
+                seeds = np.split(known, first_seed[1:])
                 lists = lambda xs: pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs])))), pa.array(np.concatenate(xs).view(np.int64))).cast(pa.list_(pa.int64()))
                 cls = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in parts], dtype=np.uint64).view(np.int64)
                 kept = b.select(list(range(b.num_columns - 1))).take(pa.array(rows + first))
@@ -182,8 +206,8 @@ def leaked(corpus: DataFrame, tests: DataFrame, keep: list[str], text_col: str,
     questions = asked.select("cls", "n", "seq").dropDuplicates(["cls"])
     shown = cut(shown_triples(questions, share), "shown")
     n_shown = shown.count()
-    texts = cut(candidate_texts(src, named, "__body", bitmap(shown, n_shown)), "leak-texts")
-    met = cut(seed_pairs(texts.dropDuplicates(["cls"]), shown, n_shown, broadcast_rows), "leak-seeds")
+    texts = cut(candidate_texts(src, named, "__body", tables(questions, shown, n_shown, share)), "leak-texts")
+    met = cut(seed_pairs(texts.dropDuplicates(["cls"]), shown.select("triple", "test"), n_shown, broadcast_rows), "leak-seeds")
     sides = questions.select(F.col("cls").alias("__q"), F.col("seq").alias("test_seq"))
     bodies = texts.select(F.col("cls").alias("__c"), "seq").dropDuplicates(["__c"])
     full = met.join(bodies, F.col("cls") == F.col("__c")).join(sides, F.col("test") == F.col("__q"))

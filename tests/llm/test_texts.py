@@ -149,8 +149,8 @@ def test_templated_tests_make_no_false_seeds(spark):
     shown = L.shown_triples(rows.select("cls", "n", "seq"), 0.5)
     n = shown.count()
     corpus = spark.createDataFrame([(i, f"start {phrase} end {i}") for i in range(50)] + [(99, tests[7][1])], "id bigint, text string")
-    texts = L.candidate_texts(corpus, ["id"], "text", L.bitmap(shown, n))
-    assert L.seed_pairs(texts, shown, n).count() <= 5
+    texts = L.candidate_texts(corpus, ["id"], "text", L.tables(rows.select("cls", "n", "seq"), shown, n, 0.5))
+    assert texts.count() == 1 and L.seed_pairs(texts, shown.select("triple", "test"), n).count() <= 5
     assert [(r["id"], r["test"]) for r in L.leaked(corpus, known, ["id"], "text", "test", "question").collect()] == [(99, "t7")]
 
 
