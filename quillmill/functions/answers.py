@@ -252,58 +252,81 @@ def theorem_number(text: str | None) -> float | int | None:
     return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 1e15 else v
 
 
+def _spoken_truth(low: str) -> str | None:
+    """A truth value named in a lower-case text, affirmation before negation."""
+    said = set(re.findall(r"\b(?:yes|true|no|false)\b", low))
+    return None if not said else "True" if said & {"yes", "true"} else "False"
+
+
 def theorem_extract(text: str) -> str:
-    """True or False, an option, what follows the last trigger and '=', or the last number."""
-    parts = re.split(TRIGGERS, text.strip("\n"))
-    p = parts[-1].strip("\n").rstrip(".").rstrip("/").strip()
-    low = p.lower()
-    if re.search(r"\b(yes|true)\b", low):
-        return "True"
-    if re.search(r"\b(no|false)\b", low):
-        return "False"
-    if re.search(r"\([a-f]\)", low):
-        return p
-    if len(parts) == 1:
-        found = re.findall(r"-?\d*\.?\d+", p)
-        return found[-1] if found else ""
-    p = clean_units(p.split("=")[-1].strip())
-    v = theorem_number(p)
-    if v is not None:
-        return str(v)
-    return p.split(" ")[0] if re.match(r"-?[\d.]+\s(?:\D+|\S+)$", p) else p
-
-
-def _numbers(text: str) -> list[float] | None:
+    """The answer that a reply states, as text.
+
+    A truth value, or the text with an option (a) to (f); behind a trigger phrase what follows the last equals sign,
+    evaluated to its value where it is an expression, or its leading number; without a trigger the last number.
+    """
+    *before, tail = re.split(TRIGGERS, text.strip("\n"))
+    tail = tail.strip("\n").rstrip(".").rstrip("/").strip()
+    truth = _spoken_truth(tail.lower())
+    if truth:
+        return truth
+    if re.search(r"\([a-f]\)", tail.lower()):
+        found = tail
+    elif not before:
+        found = (re.findall(r"-?\d*\.?\d+", tail) or [""])[-1]
+    else:
+        stated = clean_units(tail.rsplit("=", 1)[-1].strip())
+        value = theorem_number(stated)
+        led = re.match(r"(-?[\d.]+)\s(?:\D+|\S+)$", stated)
+        found = str(value) if value is not None else led.group(1) if led else stated
+    return found.rstrip(".").rstrip("/")
+
+
+def theorem_list(text: str, brackets: str) -> list[float] | None:
+    """The numbers of a list in one of the kinds of ``brackets`` ("()", "[]"), or none."""
     t = text.strip()
-    if t[:1] not in "[(" or t[-1:] not in "])":
+    if len(t) < 2 or t[0] + t[-1] not in {brackets[i : i + 2] for i in range(0, len(brackets), 2)}:
         return None
     out = [theorem_number(x) for x in t[1:-1].split(",") if x.strip()]
     return None if any(x is None for x in out) else out
 
 
-def theorem_correct(extracted: str, answer: str, kind: str | None) -> bool:
-    """Option contained, equal words, integers equal once rounded, numbers within 4 %, lists element-wise sorted (C14)."""
-    a, g = extracted.strip(), str(answer).strip()
-    if re.fullmatch(r"\([a-f]\)", g.lower()):
-        return g.lower() in a.lower()
-    if a.lower() == g.lower():
-        return True
+def plain_number(text: str) -> float | int | None:
+    """A written number, a whole one as int; expressions such as 1/2 are none."""
+    try:
+        v = float(text.strip())
+    except ValueError:
+        return None
+    return None if not math.isfinite(v) else int(v) if v.is_integer() and re.fullmatch(r"[-+]?\d+", text.strip()) else v
+
 
-    def same(p: float | None, q: float) -> bool:
-        if p is None or not math.isfinite(p):
-            return False
-        if isinstance(q, int):
-            return round(p) == q
-        eps = max(abs(q) * 0.04, 1e-9)
-        return q - eps <= p <= q + eps
+def _meets(value: float | None, truth: float) -> bool:
+    if value is None or not math.isfinite(value):
+        return False
+    if isinstance(truth, int):
+        return round(value) == truth
+    room = max(abs(truth) * 0.04, 1e-9)
+    return truth - room <= value <= truth + room
 
+
+def theorem_correct(extracted: str, answer: str, kind: str | None) -> bool:
+    """Whether an extracted answer meets the truth (C14).
+
+    An option is contained in the answer; else equal words, whatever their case; else numbers: whole ones equal once
+    rounded, others within 4 %. A truth that is a list is met by a list in round brackets, element by element in
+    ascending order. A truth that is written as an expression is no number.
+    """
+    given, truth = extracted.strip(), str(answer).strip()
+    if re.fullmatch(r"\([a-f]\)", truth.lower()):
+        return truth.lower() in given.lower()
+    if given.lower() == truth.lower():
+        return True
     if "list" in (kind or ""):
-        p, q = _numbers(a), _numbers(g)
-        return p is not None and q is not None and len(p) == len(q) and all(map(same, sorted(p), sorted(q)))
-    if kind in ("integer", "float", None):
-        q = theorem_number(g)
-        return q is not None and same(theorem_number(a), q)
-    return False
+        have, want = theorem_list(given, "()"), theorem_list(truth, "()[]")
+        return have is not None and want is not None and len(have) == len(want) and all(map(_meets, sorted(have), sorted(want)))
+    if kind not in ("integer", "float", None):
+        return False
+    number = plain_number(truth)
+    return number is not None and _meets(theorem_number(given), number)
 
 
 @F.pandas_udf(StringType())

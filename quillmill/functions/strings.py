@@ -183,11 +183,23 @@ def number_signature(c: Column) -> Column:
     return F.regexp_extract_all(normalize_native(c), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
 
 
+# Build of a phrase that counts as a name, and the keyword of a text without one.
+PHRASE = r"\b[A-Z][A-Za-z]+(?:[ \t\r\n\f-][A-Za-z0-9]+){0,3}\b"
+NO_KEYWORD = "neural network"
+
+
 def keyword(c: Column, stop: list[str], head: int = 400, least: int = 4) -> Column:
-    """First capitalised phrase of some length in the head of a text that is no stop word."""
-    phrases = F.regexp_extract_all(F.substring(c, 1, head), F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0))
-    good = F.filter(phrases, lambda p: (F.length(p) >= least) & ~F.lower(p).isin(stop))
-    return F.get(good, F.lit(0))
+    """First phrase that begins with a capital, is long enough and doesn't begin with a stop word.
+
+    Up to three words may follow the first, in any case or with digits. Without a phrase, as in a null or empty
+    text, it is the general keyword.
+    """
+    # letters beyond ASCII are letters of a word, but of no phrase; marks that combine are neither
+    plain = F.regexp_replace(F.regexp_replace(F.substring(c, 1, head), r"\p{M}", "."), r"[\p{L}\p{N}&&[^A-Za-z0-9]]", "_")
+    phrases = F.regexp_extract_all(plain, F.lit(PHRASE), F.lit(0))
+    first = lambda p: F.lower(F.regexp_extract(p, r"^[^ \t\r\n\f]+", 0))
+    good = F.filter(phrases, lambda p: (F.length(p) >= least) & ~first(p).isin(stop))
+    return F.coalesce(F.get(good, F.lit(0)), F.lit(NO_KEYWORD))
 
 
 def flatten_list(c: Column) -> Column:

@@ -17,6 +17,9 @@ from quillmill.session import cut
 Norm = Callable[[Column | str], Column]
 
 
+BROADCAST_GRAMS = 2_000_000  #: grams of the queries up to which they are broadcast (about 50 MB)
+
+
 def exact_dedup(rows: DataFrame, text: str, order: str, norm: Norm = normalize_exact) -> DataFrame:
     """The first row by ``order`` of every normalised text; rows without words are dropped (H1)."""
     n = rows.withColumn("__n", norm(text)).where("__n <> ''")
@@ -33,12 +36,17 @@ def _gram_sets(rows: DataFrame, id_col: str, text: str, side: str, norm: Norm =
 def near_overlap(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, t: float = 0.92, norm: Norm = normalize_exact) -> DataFrame:
     """(a, b, similarity): pairs of a query and a document with Jaccard similarity of their grams of at least t.
 
-    Counts shared grams by an equi-join on the gram (H3, E6). The queries are a test set; a gram that many of
-    both sides share makes the join large, for which :func:`near_overlap_prefix` is meant.
+    Counts shared grams by an equi-join on the gram (H3, E6). Before that, documents are left out that have fewer
+    than t of their grams among those of all queries: counted in place where these grams are few enough to be
+    broadcast, so that grams that many documents share are joined only for documents that may match.
     """
-    a, b = _gram_sets(queries, query_id, query_text, "a", norm), _gram_sets(corpus, doc_id, doc_text, "b", norm)
+    a, b = cut(_gram_sets(queries, query_id, query_text, "a", norm), "query-grams"), cut(_gram_sets(corpus, doc_id, doc_text, "b", norm), "corpus-grams")
     left = a.select("a", F.size("ga").alias("na"), F.explode("ga").alias("g"))
-    right = b.select("b", F.size("gb").alias("nb"), F.explode("gb").alias("h"))
+    asked = left.select(F.col("g").alias("h")).distinct()
+    asked = F.broadcast(asked) if left.count() <= BROADCAST_GRAMS else asked
+    right = b.select("b", F.size("gb").alias("nb"), F.explode("gb").alias("h")).join(asked, "h", "left_semi")
+    able = right.groupBy("b").agg(F.count(F.lit(1)).alias("__m"), F.first("nb").alias("__nb")).where(F.col("__m") >= F.lit(t) * F.col("__nb") - F.lit(1e-9)).select("b")
+    right = right.join(able, "b", "left_semi")
     fits = (F.col("g") == F.col("h")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - F.lit(1e-9))
     both = left.join(right, fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
     s = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
@@ -110,20 +118,30 @@ def near_edges(rows: DataFrame, key: str, id_col: str, text: str, threshold: flo
     on the ratio from the lengths and from the counts of letters are checked inside the join, so few pairs reach
     the matcher.
     """
+    a, b = _matchable(rows, key, id_col, text, norm).alias("a"), _matchable(rows, key, id_col, text, norm).alias("b")
+    pairs = a.join(b, _may_match(key, threshold) & (F.col("a.__i") < F.col("b.__i"))).select(F.col(f"a.{key}").alias(key), F.col("a.__i").alias("a"), F.col("b.__i").alias("b"), F.col("a.__n").alias("x"), F.col("b.__n").alias("y"))
+    return _matched(pairs, rows, key, id_col, threshold)
+
+
+def _matchable(rows: DataFrame, key: str, id_col: str, text: str, norm: Norm) -> DataFrame:
+    """(key, id, text, number signature, counts of letters, length) of texts of enough words."""
     n = rows.select(key, F.col(id_col).alias("__i"), norm(text).alias("__n")).where(F.size(F.split("__n", " ")) >= MIN_WORDS)
     letters = F.array(*(F.length("__n") - F.length(F.replace(F.col("__n"), F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "))
-    s = n.select(key, "__i", "__n", F.array_join(number_signature(F.col("__n")), " ").alias("__s"), letters.alias("__l"), F.length("__n").alias("__len"))
-    a, b = s.alias("a"), s.alias("b")
+    return n.select(key, "__i", "__n", F.array_join(number_signature(F.col("__n")), " ").alias("__s"), letters.alias("__l"), F.length("__n").alias("__len"))
+
+
+def _may_match(key: str, threshold: float) -> Column:
     total = F.col("a.__len") + F.col("b.__len")
     known = F.aggregate(F.zip_with("a.__l", "b.__l", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    on = (
+    return (
         (F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")))
         & (F.col("a.__s") == F.col("b.__s"))
-        & (F.col("a.__i") < F.col("b.__i"))
         & (2 * F.least("a.__len", "b.__len") >= threshold * total)
         & (total - known >= threshold * total)
     )
-    pairs = a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col("a.__i").alias("a"), F.col("b.__i").alias("b"), F.col("a.__n").alias("x"), F.col("b.__n").alias("y"))
+
+
+def _matched(pairs: DataFrame, rows: DataFrame, key: str, id_col: str, threshold: float) -> DataFrame:
     kind, ikind = rows.schema[key].dataType.simpleString(), rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,18 +152,26 @@ def near_edges(rows: DataFrame, key: str, id_col: str, text: str, threshold: flo
     return pairs.mapInPandas(run, f"`{key}` {kind}, a {ikind}, b {ikind}")
 
 
-def near_admission(rows: DataFrame, key: str, id_col: str, text: str, threshold: float = 0.88, rounds: int = 50, norm: Norm = normalize_exact) -> DataFrame:
+def near_admission(rows: DataFrame, key: str, id_col: str, text: str, threshold: float = 0.88, existing: DataFrame | None = None, norm: Norm = normalize_exact) -> DataFrame:
     """Rows that a pass in id order admits: not empty, not equal and not near an *admitted* earlier row (H2).
 
-    The pass is order-dependent, but a row's fate needs only its earlier neighbours: in every round rows whose
-    earlier neighbours are all rejected are admitted, and their later neighbours rejected. As many rounds as the
-    longest chain of dependent rows are needed; more than ``rounds`` is an error.
+    ``existing`` (key, text) are questions admitted before: a row equal or near to one of its key is rejected. The
+    pass is order-dependent, but a row's fate needs only its earlier neighbours: in every round rows whose earlier
+    neighbours are all rejected are admitted, and their later neighbours rejected. There are as many rounds as the
+    longest chain of dependent rows is long, each of them settles a row at least.
     """
+    if existing is not None:
+        known = existing.select(F.col(key).alias("__k"), norm(text).alias("__e")).where("__e <> ''").distinct()
+        rows = rows.withColumn("__n", norm(text)).join(known, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__e")), "left_anti").drop("__n")
+        seeds = existing.select(F.col(key), F.col(text), F.lit(None).cast(rows.schema[id_col].dataType).alias(id_col))
+        a, b = _matchable(seeds, key, id_col, text, norm).alias("a"), _matchable(rows, key, id_col, text, norm).alias("b")
+        pairs = a.join(b, _may_match(key, threshold)).select(F.col(f"b.{key}").alias(key), F.col("b.__i").alias("a"), F.col("b.__i").alias("b"), F.col("a.__n").alias("x"), F.col("b.__n").alias("y"))
+        near = cut(_matched(pairs, rows, key, id_col, threshold).select(F.col("b").alias("__g")).distinct(), "near-existing")
+        rows = rows.join(near, F.col(id_col) == F.col("__g"), "left_anti")
     first = cut(_first_of_key(rows, key, id_col, text, norm), "first")
-    edges = cut(near_edges(first, key, id_col, text, threshold, norm).select("a", "b"), "near-edges")
+    open_edges = cut(near_edges(first, key, id_col, text, threshold, norm).select("a", "b"), "near-edges")
     done_out = None
-    open_edges = edges
-    for _ in range(rounds):
+    while True:
         waiting = open_edges.select("b").distinct()
         sure = open_edges.select("a").distinct().join(waiting, F.col("a") == F.col("b"), "left_anti")
         out = cut(open_edges.join(sure, "a", "left_semi").select("b").distinct(), "rejected")
@@ -155,8 +181,6 @@ def near_admission(rows: DataFrame, key: str, id_col: str, text: str, threshold:
         gone = out.select(F.col("b").alias("__g"))
         open_edges = open_edges.join(sure, "a", "left_anti").join(gone, F.col("b") == F.col("__g"), "left_anti").join(gone, F.col("a") == F.col("__g"), "left_anti")
         open_edges = cut(open_edges, "open-edges")
-    else:
-        raise RuntimeError("admission did not settle")
     if done_out is None:
         return first
     return first.join(done_out.select(F.col("b").alias("__g")), F.col(id_col) == F.col("__g"), "left_anti")

@@ -44,7 +44,7 @@ retrievers, scorers, providers = Parts("retriever"), Parts("scorer"), Parts("pro
 @retrievers.register("bm25")
 def bm25(k: int = 10, k1: float = 1.5, b: float = 0.75) -> Callable[..., DataFrame]:
     """Okapi BM25 over (query_id, text) and (item_id, text)."""
-    return lambda queries, items: retrieval.top_k(retrieval.bm25_scores(queries, items, "query_id", "text", "item_id", "text", k1, b), k)
+    return lambda queries, items: retrieval.catalog_top_k(queries, items, "query_id", "text", "item_id", "text", k, k1, b)
 
 
 @retrievers.register("tfidf")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.strings import tokens
 
 DENSE_BLOCK = 4096  #: queries scored in one pass over the corpus
+CATALOG_ROWS = 2_000_000  #: most (term, item) pairs of a catalog whose index is broadcast (about 100 MB)
 SCORED_DOCS = 500  #: documents scored at once in a worker
 
 
@@ -68,7 +69,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: s
     A block of at most ``block`` queries is broadcast as an index from term to queries; documents are scored where
     they lie, and only the k best of a partition leave it, so neither terms nor pairs are shuffled. Document
     frequencies are counted for the block's terms alone, one partial count a partition. For many queries against
-    a small catalog :func:`bm25_scores` is the better plan.
+    a small catalog there is :func:`catalog_top_k`.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -154,6 +155,63 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text:
     return dots.join(norms, "item_id").select("query_id", "item_id", (F.col("dot") / one("norm") / one("qnorm")).alias("score"))
 
 
+def catalog_top_k(queries: DataFrame, items: DataFrame, query_id: str, query_text: str, item_id: str, item_text: str, k: int, k1: float = 1.5, b: float = 0.75, bound: int = CATALOG_ROWS) -> DataFrame:
+    """The result of top_k(bm25_scores(...), k) for any number of queries over a catalog of items.
+
+    If the catalog has at most ``bound`` (term, item) pairs, its weighed index is broadcast and every query is scored
+    where it lies: one narrow pass, k rows a query, no term shuffled. A larger catalog is joined by term. Queries
+    without a term and items without a text are in no row; equal scores go by item.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    counts = term_counts(items, item_id, item_text)
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf, tf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.col("tf")
+    w = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weights = _with_stats(counts.join(df, "term"), document_stats(items, item_text)).where(idf > 0).select("term", "item_id", w.alias("w"))
+    index = weights.limit(bound + 1).toArrow()
+    if index.num_rows > bound:
+        return top_k(bm25_scores(queries, items, query_id, query_text, item_id, item_text, k1, b), k)
+    names = sorted(set(index.column("item_id").to_pylist()))
+    at = {x: i for i, x in enumerate(names)}
+    terms = index.column("term").to_pylist()
+    words = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+    place = np.fromiter((words[t] for t in terms), dtype=np.int64, count=len(terms))
+    order = np.argsort(place, kind="stable")
+    item = np.fromiter(map(at.__getitem__, index.column("item_id").to_pylist()), dtype=np.int64, count=len(terms))[order]
+    weight = index.column("w").to_numpy().astype(np.float64)[order] if len(terms) else np.empty(0)
+    stop = np.searchsorted(place[order], np.arange(len(words)), "right")
+    start = np.concatenate(([0], stop[:-1])).astype(np.int64)
+    shared = items.sparkSession.sparkContext.broadcast((names, words, start, stop, item, weight))
+    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, rank int, item_id {items.schema[item_id].dataType.simpleString()}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words, start, stop, item, weight = shared.value
+        name_array = pa.array(names)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):  # so many rows of scores at once
+                part = batch.slice(first, 1000)
+                known = [[j for t in set(ts or ()) if (j := words.get(t)) is not None] for ts in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(known)), [len(x) for x in known])
+                term = np.fromiter((j for x in known for j in x), dtype=np.int64, count=len(owner))
+                n = stop[term] - start[term]
+                where = np.repeat(start[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                cell = np.repeat(owner, n) * len(names) + item[where]
+                scores = np.bincount(cell, weight[where], minlength=len(known) * len(names)).reshape(len(known), len(names))
+                best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(scores, best, 1)
+                q, r = np.nonzero(top > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(q)), pa.array((r + 1).astype(np.int32)), name_array.take(pa.array(best[q, r])), pa.array(top[q, r])],
+                    names=["query_id", "rank", "item_id", "score"],
+                )
+
+    if not names:
+        return items.sparkSession.createDataFrame([], kinds)
+    source = queries.select(F.col(query_id).alias("query_id"), tokens(F.col(query_text)).alias("t"))
+    return source.mapInArrow(run, kinds)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, item_id, score): best k items a query, ties by item; equal to nine digits is a tie."""
     if k < 1:
@@ -166,7 +224,7 @@ def dense_top_k(queries: DataFrame, items: DataFrame, query_id: str, query_vec:
     """(query_id, rank, item_id, score): cosine top-k by blocks of queries.
 
     A block of at most ``block`` queries is broadcast and multiplied with the vectors of each partition; only the
-    k best of a partition leave it. Null and zero vectors match nothing. Ids must be whole numbers.
+    k best of a partition leave it. Null and zero vectors, and those of another length than the queries', match nothing. Ids must be whole numbers.
     """
     spark = items.sparkSession
     n = queries.count()

@@ -69,7 +69,7 @@ def leakage_audit(spark: SparkSession, d: str, form: Norm = normalize_native) ->
 )
 def retrieval_audit(spark: SparkSession, d: str) -> DataFrame:
     """H9, H10 on a ranking cut at a score and with a stray query."""
-    r = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 10)
+    r = R.catalog_top_k(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text", 10)
     cut_short = r.where("score >= 12").select("query_id", "rank", "item_id")
     stray = spark.createDataFrame([("nobody", 1, "theoremqa_999")], "query_id string, rank int, item_id string")
     return U.retrieval_audit(cut_short.unionByName(stray), _bench(spark, d), _skills(spark, d), 10)

@@ -66,7 +66,7 @@ def _adapters(spark: SparkSession, d: str) -> DataFrame:
 def adapter_routes(spark: SparkSession, d: str) -> DataFrame:
     """Skills with tools have an adapter."""
     b, ad = table(spark, d, "bench_instance"), _adapters(spark, d)
-    ranked = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 1)
+    ranked = R.catalog_top_k(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text", 1)
     g = L.adapter_routes(b, "skill_annotations", ad, "instance_id").withColumnRenamed("adapter", "gold_route")
     return g.join(L.retrieved_routes(b, ranked, ad, "instance_id").withColumnRenamed("adapter", "retrieved_route"), "instance_id")
 

@@ -80,7 +80,7 @@ POOL = "q as (select distinct instance_id as query_id, question as text from syn
 def pool_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Every generated task over the skills."""
     pool = table(spark, d, "synthetic_task").select(F.col("instance_id").alias("query_id"), F.col("question").alias("text")).distinct()
-    return _rounded(R.top_k(R.bm25_scores(pool, _skills(spark, d), "query_id", "text", "item_id", "text"), 5))
+    return _rounded(R.catalog_top_k(pool, _skills(spark, d), "query_id", "text", "item_id", "text", 5))
 
 
 @core.query(
@@ -104,7 +104,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 def _both(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
     q, s = _bench(spark, d), _skills(spark, d)
     return (
-        R.top_k(R.bm25_scores(q, s, "query_id", "text", "item_id", "text"), k),
+        R.catalog_top_k(q, s, "query_id", "text", "item_id", "text", k),
         R.top_k(R.tfidf_scores(q, s, "query_id", "text", "item_id", "text"), k),
     )
 
@@ -137,7 +137,7 @@ def metrics_sql(source: str, k_max: int) -> str:
 @core.query("retrieval_metrics", f"with {BENCH}, {SKILLS}, {GOLD}, {counts_sql()}, {bm25_sql(50)}, {metrics_sql('bm25', 50)}")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """F5 and J11 of BM25 over the skills."""
-    r = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 50)
+    r = R.catalog_top_k(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text", 50)
     return R.retrieval_metrics(r, _gold(spark, d), 50).select("metric", F.round("value", 6).alias("value"))
 
 
@@ -157,7 +157,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 )
 def router_metrics(spark: SparkSession, d: str) -> DataFrame:
     """F6 of BM25 over the skills."""
-    r = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 10)
+    r = R.catalog_top_k(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text", 10)
     m = R.router_metrics(r, _gold(spark, d), F.regexp_replace("item_id", "_[^_]*$", ""))
     return m.select("scope", "queries", *(F.round(c, 6).alias(c) for c in ("r1", "r5", "r10", "mrr10")))
 
@@ -204,7 +204,7 @@ def dense_metrics(spark: SparkSession, d: str) -> DataFrame:
 def rank_scores(spark: SparkSession, d: str) -> DataFrame:
     """F20, J7's relational part: BM25 candidates in the order of a second ranking, the rest behind."""
     q, s = _bench(spark, d), _skills(spark, d)
-    source = R.top_k(R.bm25_scores(q, s, "query_id", "text", "item_id", "text"), 10)
+    source = R.catalog_top_k(q, s, "query_id", "text", "item_id", "text", 10)
     order = R.top_k(R.tfidf_scores(q, s, "query_id", "text", "item_id", "text"), 5)
     return _rounded(R.rank_scores(order, source))
 
@@ -219,7 +219,7 @@ def rank_scores(spark: SparkSession, d: str) -> DataFrame:
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """F21, J8, E13 with a scorer that is a column (the length of the skill's text)."""
     q, s = _bench(spark, d), _skills(spark, d)
-    found = R.top_k(R.bm25_scores(q, s, "query_id", "text", "item_id", "text"), 10).join(s, "item_id")
+    found = R.catalog_top_k(q, s, "query_id", "text", "item_id", "text", 10).join(s, "item_id")
     return _rounded(R.rerank(found, F.length("text").cast("double"), 3))
 
 
@@ -230,7 +230,7 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 def topk_skills(spark: SparkSession, d: str) -> DataFrame:
     """E3, J9's pool: the best skills of each question, an empty list where none is found."""
     q = _bench(spark, d)
-    r = R.top_k(R.bm25_scores(q, _skills(spark, d), "query_id", "text", "item_id", "text"), 3)
+    r = R.catalog_top_k(q, _skills(spark, d), "query_id", "text", "item_id", "text", 3)
     lists = r.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
     return q.join(lists, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["item_id"]), ","), F.lit("")).alias("skills"))
 

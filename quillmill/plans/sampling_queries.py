@@ -48,7 +48,7 @@ POOL_GOLD = "g as (select distinct instance_id as query_id, unnest(gold_skill_id
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pool = table(spark, d, "synthetic_task").select(F.col("instance_id").alias("query_id"), F.col("question").alias("text")).distinct()
     gold = table(spark, d, "synthetic_task").select(F.col("instance_id").alias("query_id"), F.explode("gold_skill_ids").alias("item_id")).distinct()
-    return cut(R.top_k(R.bm25_scores(pool, _skills(spark, d), "query_id", "text", "item_id", "text"), 5), "pool-ranking"), gold
+    return cut(R.catalog_top_k(pool, _skills(spark, d), "query_id", "text", "item_id", "text", 5), "pool-ranking"), gold
 
 
 @core.query(

@@ -51,7 +51,7 @@ def jsonl_strings(spark: SparkSession, d: str) -> DataFrame:
 def result_sink(spark: SparkSession, d: str) -> DataFrame:
     """A ranking stored nested and read back in long form."""
     p = _path(spark, "ranking")
-    r = R.top_k(R.bm25_scores(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text"), 10)
+    r = R.catalog_top_k(_bench(spark, d), _skills(spark, d), "query_id", "text", "item_id", "text", 10)
     Z.write_once(Z.nest_results(r, _gold(spark, d)), p, form="parquet")
     return Z.flatten_results(spark.read.parquet(p)).select("query_id", F.col("rank").cast("bigint").alias("rank"), "item_id", F.round("score", 6).alias("score"))
 

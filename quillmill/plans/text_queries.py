@@ -12,7 +12,8 @@ from quillmill.plans.registry import core
 from quillmill.plans.sqltext import norm, toks, words
 from quillmill.session import table
 
-STOP = ["the", "this", "that", "then", "there", "these", "when", "with", "what", "which"]
+# Words that no keyword begins with.
+STOP = ["the", "this", "these", "those", "what", "when", "where", "which", "that", "then"]
 
 
 @core.exact
@@ -145,12 +146,12 @@ def number_signature(spark: SparkSession, d: str) -> DataFrame:
 
 @core.query(
     "keywords",
-    f"""select doc_id, list_filter(regexp_extract_all(substr(text, 1, 400), '[A-Z][a-z]+(?: [A-Z][a-z]+)*'), lambda p: length(p) >= 4 and lower(p) not in ({', '.join(f"'{s}'" for s in STOP)}))[1] as keyword
-    from documents where text is not null""",
+    rf"""select doc_id, coalesce(list_filter(regexp_extract_all(regexp_replace(regexp_replace(substr(text, 1, 400), '\p{{M}}', '.', 'g'), '[ªµºÀ-ÖØ-öø-ˁͰ-ͽͿ-҂Ҋ-\x{{1FFF}}\x{{2C00}}-\x{{2DFF}}\x{{3040}}-\x{{D7FF}}\x{{FF10}}-\x{{FFDC}}]', '_', 'g'), '{S.PHRASE}'),
+      lambda p: length(p) >= 4 and lower(regexp_extract(p, '^[^ \t\r\n\f]+')) not in ({', '.join(f"'{s}'" for s in STOP)}))[1], '{S.NO_KEYWORD}') as keyword from documents""",
 )
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    """B24."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", S.keyword(F.col("text"), STOP).alias("keyword"))
+    """B24 of every document."""
+    return table(spark, d, "documents").select("doc_id", S.keyword(F.col("text"), STOP).alias("keyword"))
 
 
 @core.query(

@@ -50,6 +50,11 @@ def test_bm25_equals_formula(spark):
     got = {(r["query_id"], r["item_id"]): r["score"] for r in R.bm25_scores(q, d, "qid", "text", "did", "text").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert R.bm25_scores(q, d.limit(0), "qid", "text", "did", "text").count() == 0
+    flat = lambda df: sorted((r["query_id"], r["rank"], r["item_id"], round(r["score"], 9)) for r in df.collect())
+    for bound in (10**6, 0):  # by broadcast, and joined by term
+        for k in (1, 3):
+            assert flat(R.catalog_top_k(q, d, "qid", "text", "did", "text", k, bound=bound)) == flat(R.top_k(R.bm25_scores(q, d, "qid", "text", "did", "text"), k))
+    assert R.catalog_top_k(q, d.limit(0), "qid", "text", "did", "text", 2).count() == 0 and R.catalog_top_k(q.limit(0), d, "qid", "text", "did", "text", 2).count() == 0
 
 
 def test_blocks_equal_the_term_join(spark):
@@ -150,6 +155,10 @@ def test_admission_equals_sequential_pass(spark):
             want.add(i)
     df = spark.createDataFrame(rows, "id string, key string, text string").repartition(3)
     assert {r["id"] for r in D.near_admission(df, "key", "id", "text").collect()} == want
+    firsts = df.where(df["id"].isin(sorted(want)[:2])).select("key", "text")
+    seeded = {r["id"] for r in D.near_admission(df, "key", "id", "text", existing=firsts).collect()}
+    assert not seeded & set(sorted(want)[:2])
+    assert {r["id"] for r in D.near_admission(df, "key", "id", "text", existing=firsts.limit(0)).collect()} == want
 
 
 def test_prefix_filter_agrees(spark):
@@ -266,6 +275,8 @@ def test_theorem_answers():
     assert A.theorem_extract("Therefore, the answer is (b).") == "(b)" and A.theorem_extract("") == ""
     assert A.theorem_correct("3.2", "3.1", "float") and not A.theorem_correct("3.3", "3.1", "float") and A.theorem_correct("2.5", "2", "integer")
     assert A.theorem_correct("(3, 1)", "[1, 3]", "list of integer") and not A.theorem_correct("[1]", "[1, 3]", "list of integer")
+    assert not A.theorem_correct("[3, 1]", "[1, 3]", "list of integer") and not A.theorem_correct("0.5", "1/2", "float") and A.theorem_correct("1/2", "0.5", "float")
+    assert A.theorem_extract("The answer is 7.") == "7" and A.theorem_extract("no, but yes") == "True" and A.theorem_correct("(1, 2.02)", "(1, 2.0)", "list of float")
     assert A.theorem_correct("option (C)", "(c)", "option") and A.theorem_number("\\frac{1}{4}") == 0.25 and A.theorem_number("50%") == 0.5
     for bad in ("__import__('os')", "2**2**40", "9" * 400 + "**99", "a.b", "[1 for x in y]", "factorial(99999)", "("):
         assert A.arithmetic(bad) is None
