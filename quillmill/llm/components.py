@@ -19,7 +19,6 @@ from quillmill.session import cut
 
 FOREST_EDGES = 1_000_000  #: edges held by a task before it passes on a forest (about 100 MB)
 LAST_EDGES = 400_000  #: so many links at most go to one task
-MAX_LEVELS = 60
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +74,7 @@ def merge_forests(local: DataFrame, partitions: int, last_edges: int = LAST_EDGE
     """
     maps: list[DataFrame] = []
     level = local
-    for _ in range(MAX_LEVELS):
+    while True:  # every level leaves a node fewer at least, on hash values a share of them
         by_node = Window.partitionBy("node")
         seen = cut(level.withColumn("up", F.min("root").over(by_node)), "forest")
         maps.append(seen.select("node", F.col("up").alias("root")).distinct())
@@ -87,8 +86,6 @@ def merge_forests(local: DataFrame, partitions: int, last_edges: int = LAST_EDGE
         partitions = 1 if n <= last_edges else max(2, partitions // 4, n // FOREST_EDGES)
         spread = links.coalesce(1) if partitions == 1 else links.repartition(partitions, "root", "up")
         level = edge_forests(spread)
-    else:
-        raise RuntimeError("components did not settle")
     out = maps[0]
     for m in maps[1:]:
         up = m.select(F.col("node").alias("__n"), F.col("root").alias("__r"))

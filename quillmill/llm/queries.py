@@ -60,7 +60,10 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(eval_id, partners, best_similarity, best_cover): per evaluation record, how much of it stands in training."""
+    """(eval_id, partners, best_similarity, best_cover): per evaluation record, how much of it stands in training.
+
+    One row a record; the pairs of different texts are verified all the same.
+    """
     return _overlaps(spark, sf_dir).groupBy("eval_id").agg(
         F.count(F.lit(1)).alias("partners"), F.max("similarity").alias("best_similarity"), F.max("eval_cover").alias("best_cover")
     )
@@ -69,14 +72,14 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, defect): records whose reply fails, with the kind of defect."""
     records = spread(table(spark, sf_dir, "inference_record").select("record_id", "instance_id", "raw_output"))
-    examples = table(spark, sf_dir, "example_instance").select(F.col("instance_id").alias("__i"), "question").dropDuplicates(["__i"])
+    examples = table(spark, sf_dir, "example_instance").groupBy(F.col("instance_id").alias("__i")).agg(F.min("question").alias("question"))
     pairs = records.join(examples, F.col("instance_id") == F.col("__i"), "left")
     return broken_pairs(pairs, "record_id", "raw_output", "question").distinct()  # rows delivered again
 
 
 def p3_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(method, defect, records): defects of each method, null being a method of its own."""
-    method = table(spark, sf_dir, "inference_record").select(F.col("record_id").alias("__r"), "method").dropDuplicates(["__r"])
+    method = table(spark, sf_dir, "inference_record").groupBy(F.col("record_id").alias("__r")).agg(F.min("method").alias("method"))
     found = p3_found(spark, sf_dir)
     return found.join(method, F.col("record_id") == F.col("__r")).groupBy("method", "defect").agg(F.count(F.lit(1)).alias("records"))
 
