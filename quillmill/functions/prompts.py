@@ -34,3 +34,24 @@ def retrieval_query(system: Column, user: Column, shots: Column | None = None) -
     """What a retriever is asked: user prompt, system prompt and examples, one under the other."""
     parts = [user, system] + ([] if shots is None else [shots])
     return F.concat_ws("\n", *(F.when(p != "", p) for p in parts))
+
+
+# What a generated question must be like, for each dataset, in the engine's own wording.
+QUESTION_FORMATS = {
+    "theoremqa": "The answer must be a number, True or False, an option (a) to (f), or a list of numbers.",
+    "logicbench": "Ask for yes or no, or end with at most five options, choice_1: to choice_5:.",
+    "medcalcbench": "Describe a patient and name the score to calculate; the answer is a number or a date.",
+    "toolqa": "Ask directly, in less than 200 characters, for a fact that only tool calls can find; give no facts of the database.",
+}
+SELF_CONTAINED = "The question must hold all parameters that it needs."
+
+
+def question_format(dataset: Column, covers: Column | None = None) -> Column:
+    """How a question for a dataset must be written; ``covers`` names the calculators of its skill.
+
+    A dataset without a format of its own has the general sentence only; null and empty lists name nothing.
+    """
+    table = F.create_map(*(F.lit(x) for kv in QUESTION_FORMATS.items() for x in kv))
+    own = F.try_element_at(table, dataset)
+    named = F.lit(None).cast("string") if covers is None else F.when((dataset == "medcalcbench") & (F.size(covers) > 0), F.concat(F.lit("Calculators: "), F.array_join(covers, ", "), F.lit(".")))
+    return F.concat_ws("\n", F.concat(F.lit("Question format for "), dataset), own, named, F.lit(SELF_CONTAINED))

@@ -57,6 +57,67 @@ def leakage(rows: DataFrame, skills: DataFrame, id_col: str, text: str, gold: st
     return union(parts)
 
 
+#: What the provenance of an anchor file must say.
+ANCHOR_SOURCE, ANCHOR_POLICY = "synthetic_train_pool", "retrieval_top1_then_topk_loose"
+TEST_FILES = 4
+
+
+def artifact_audit(files: DataFrame, rows: DataFrame, skills: DataFrame, expected: dict[str, int], expected_skills: DataFrame, test_files: int, retriever: str, norm: Callable[[Column | str], Column] = normalize_exact) -> DataFrame:
+    """(issue, id, detail) of the files of trajectories and anchors that a training set is made of (H8).
+
+    ``files`` has a row a file: path, kind (trajectory or anchor), directory, skill_id and, of anchors, source_kind,
+    model, retriever, retriever_model, reranker_model, near_policy and the numbers of nearmiss and random rows
+    requested and kept. ``rows`` has path, id, question, source_question and source_skill_ids. Kinds of issues:
+    invalid_closed_world_skill_universe, incomplete_test_suite_for_decontamination, incomplete_trajectory_directory and
+    incomplete_anchor_directory (a file a skill of ``expected_skills``), anchor_source_not_synthetic,
+    anchor_missing_provenance_field, anchor_retriever_protocol_mismatch, anchor_near_policy_mismatch,
+    anchor_unknown_target_skill, incomplete_anchor_counts, anchor_missing_source_question,
+    anchor_missing_or_unknown_source_skills, anchor_is_not_negative, cross_trajectory_duplicate_id, and the warning
+    cross_skill_duplicate_questions_retained. Rows without words are no rows here (they are missing_question in
+    :func:`leakage`); a null counts as missing everywhere. The first file by path is the reference for later ones.
+    """
+    path, known = F.col("path"), skills.select(F.col("skill_id").alias("__s")).where("__s is not null").distinct()
+    parts = []
+    worlds = universe(skills, expected).agg(F.min(F.col("valid").cast("int")).alias("ok"), F.sum("found").alias("c"), F.sum("distinct_found").alias("u"))
+    parts.append(_issue(worlds.where(f"coalesce(ok, 0) = 0 or u <> {sum(expected.values())}"), "invalid_closed_world_skill_universe", F.lit(""), F.coalesce("c", F.lit(0))))
+    if test_files != TEST_FILES:
+        parts.append(_issue(skills.sparkSession.range(1), "incomplete_test_suite_for_decontamination", F.lit(""), F.lit(test_files)))
+    want = expected_skills.select(F.col("skill_id").alias("__w"), F.lit(1).alias("__in")).distinct()
+    n_want = want.count()  # the closed world of skills
+    have = files.select("kind", "directory", F.col("skill_id").alias("__w")).distinct().join(want, "__w", "left")
+    inside = F.count("__in")
+    counts = have.groupBy("kind", "directory").agg((F.lit(n_want) - inside + F.count(F.lit(1)) - inside).alias("c")).where("c > 0")
+    for kind in ("trajectory", "anchor"):
+        parts.append(_issue(counts.where(F.col("kind") == kind), f"incomplete_{kind}_directory", F.col("directory"), F.col("c")))
+    anchors = files.where("kind = 'anchor'")
+    parts.append(_issue(anchors.where(~F.col("source_kind").eqNullSafe(ANCHOR_SOURCE)), "anchor_source_not_synthetic", path, F.coalesce("source_kind", F.lit(""))))
+    fields = ["model", "retriever", "retriever_model", "near_policy", *(["reranker_model"] if retriever.endswith("_rerank") else [])]
+    lacking = F.filter(F.array(*(F.when(F.coalesce(f, F.lit("")) == "", F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    parts.append(_issue(anchors.select("path", F.explode(lacking).alias("f")), "anchor_missing_provenance_field", path, F.col("f")))
+    parts.append(_issue(anchors.where(~F.col("retriever").eqNullSafe(retriever)), "anchor_retriever_protocol_mismatch", path, F.coalesce("retriever", F.lit(""))))
+    parts.append(_issue(anchors.where(~F.col("near_policy").eqNullSafe(ANCHOR_POLICY)), "anchor_near_policy_mismatch", path, F.coalesce("near_policy", F.lit(""))))
+    parts.append(_issue(anchors.join(known, F.col("skill_id") == F.col("__s"), "left_anti"), "anchor_unknown_target_skill", path, F.coalesce("skill_id", F.lit(""))))
+    size = rows.groupBy(F.col("path").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    numbers = [F.coalesce(c, F.lit(-1)) for c in ("nearmiss_requested", "nearmiss_kept", "random_requested", "random_kept")]
+    sized = anchors.join(size, path == F.col("__p"), "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    wrong = (F.least(*numbers) < 0) | (numbers[0] != numbers[1]) | (numbers[2] != numbers[3]) | (F.col("__n") != numbers[1] + numbers[3])
+    parts.append(_issue(sized.where(wrong), "incomplete_anchor_counts", path, F.col("__n")))
+    real = rows.withColumn("__q", norm("question")).where("__q <> ''").join(files.select(F.col("path").alias("__f"), "kind", "skill_id"), path == F.col("__f"))
+    ident = F.concat_ws("#", "path", "id")
+    of_anchors = real.where("kind = 'anchor'")
+    parts.append(_issue(of_anchors.where("coalesce(source_question, '') = ''"), "anchor_missing_source_question", ident))
+    each = of_anchors.select("path", "id", F.explode_outer("source_skill_ids").alias("g"))
+    parts.append(_issue(each.join(known, F.col("g") == F.col("__s"), "left_anti").select("path", "id").distinct(), "anchor_missing_or_unknown_source_skills", ident))
+    parts.append(_issue(of_anchors.where(F.array_contains("source_skill_ids", F.col("skill_id"))), "anchor_is_not_negative", ident, F.col("skill_id")))
+    steps = real.where("kind = 'trajectory'")
+    firsts = steps.groupBy(F.col("id").alias("__i")).agg(F.min("path").alias("__first"), F.max("path").alias("__last")).where("__first <> __last")
+    parts.append(_issue(steps.join(firsts, F.col("id") == F.col("__i")).where(path != F.col("__first")), "cross_trajectory_duplicate_id", ident, F.col("__first")))
+    asked = steps.groupBy("__q").agg(F.min("path").alias("__first"))
+    first_rows = steps.join(asked.select(F.col("__q").alias("__k"), "__first"), F.col("__q") == F.col("__k")).where(path != F.col("__first")).agg(F.count(F.lit(1)).alias("c")).where("c > 0")
+    parts.append(_issue(first_rows, "cross_skill_duplicate_questions_retained", F.lit(""), F.col("c")))
+    return union(parts)
+
+
 def retrieval_audit(results: DataFrame, instances: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(issue, id, detail) of a ranking (query_id, rank, item_id).
 

@@ -58,6 +58,56 @@ def leakage_audit(spark: SparkSession, d: str, form: Norm = normalize_native) ->
     return U.leakage(t, table(spark, d, "skill_corpus"), "instance_id", "question", "gold_skill_ids", overlap, norm=form)
 
 
+ARTIFACT_ROWS = """t as (select distinct instance_id, question, lower(trim(split)) as split, dataset, coalesce(gold_skill_ids, []) as gold, coalesce(origin_skill_ids, []) as origin from synthetic_task),
+    w as (select case when split in ('train', 'training') then 'trajectory' else 'anchor' end as kind, coalesce(origin[1], gold[1]) as skill_id, * from t),
+    r as (select kind || '/' || skill_id || '.json' as path, instance_id as id, * from w where skill_id is not null),
+    f as (select path, any_value(kind) as kind, any_value(skill_id) as skill_id, any_value(kind) || '/all' as directory, case when count(dataset) = count(*) then 'synthetic_train_pool' end as source_kind,
+      max(dataset) as model, case when count(*) > 1 then 'dense_rerank' else 'dense' end as retriever, min(dataset) as retriever_model, case when count(*) > 2 then min(dataset) else '' end as reranker_model,
+      case when count(*) % 2 = 0 then 'retrieval_top1_then_topk_loose' end as near_policy, count(distinct id) as requested from r group by path)"""
+
+
+@core.query(
+    "artifact_audit",
+    f"""with {ARTIFACT_ROWS}, u as (select regexp_replace(skill_id, '_[^_]*$', '') as p, count(*) as c, count(distinct skill_id) as d from skill_corpus group by 1),
+    e as (select * from (values ('theoremqa', 320), ('medcalcbench', 55), ('logicbench', 19), ('toolqa', 14)) t(p, n)),
+    sk as (select distinct skill_id from skill_corpus), n as (select r.*, {norm('r.question')} as q from r where coalesce({norm('r.question')}, '') <> ''),
+    places as (select distinct kind, directory from f), an as (select * from f where kind = 'anchor'),
+    off as (select kind, directory, s.skill_id from places, sk s except select kind, directory, skill_id from f union all (select distinct kind, directory, skill_id from f where skill_id not in (select skill_id from sk))),
+    tr as (select * from n where kind = 'trajectory'), firsts as (select id, min(path) as first from tr group by id), asked as (select q, min(path) as first from tr group by q)
+    select 'invalid_closed_world_skill_universe' as issue, '' as id, cast((select sum(c) from u) as varchar) as detail where exists (select 1 from e full outer join u using (p) where n is distinct from c or c is distinct from d) or (select sum(d) from u) <> 408
+    union all select 'incomplete_test_suite_for_decontamination', '', cast(count(distinct dataset) as varchar) from bench_instance having count(distinct dataset) <> 4
+    union all select 'incomplete_' || kind || '_directory', directory, cast(count(*) as varchar) from off group by kind, directory
+    union all select 'anchor_source_not_synthetic', path, coalesce(source_kind, '') from an where source_kind is distinct from 'synthetic_train_pool'
+    union all select 'anchor_missing_provenance_field', path, x from (select path, unnest(list_filter([case when coalesce(model, '') = '' then 'model' end, case when coalesce(retriever_model, '') = '' then 'retriever_model' end, case when coalesce(near_policy, '') = '' then 'near_policy' end, case when coalesce(reranker_model, '') = '' then 'reranker_model' end], lambda v: v is not null)) as x from an)
+    union all select 'anchor_retriever_protocol_mismatch', path, retriever from an where retriever <> 'dense_rerank'
+    union all select 'anchor_near_policy_mismatch', path, coalesce(near_policy, '') from an where near_policy is null
+    union all select 'anchor_unknown_target_skill', path, skill_id from an where skill_id not in (select skill_id from sk)
+    union all select 'incomplete_anchor_counts', a.path, cast((select count(*) from r where r.path = a.path) as varchar) from an a where (select count(*) from r where r.path = a.path) <> requested
+    union all select 'anchor_missing_source_question', path || '#' || id, '' from n where kind = 'anchor' and dataset is null
+    union all select distinct 'anchor_missing_or_unknown_source_skills', path || '#' || id, '' from (select path, id, unnest(case when len(gold) = 0 then [null] else gold end) as g from n where kind = 'anchor') where g is null or g not in (select skill_id from sk)
+    union all select 'anchor_is_not_negative', path || '#' || id, skill_id from n where kind = 'anchor' and list_contains(gold, skill_id)
+    union all select 'cross_trajectory_duplicate_id', path || '#' || tr.id, first from tr join firsts using (id) where path <> first
+    union all select 'cross_skill_duplicate_questions_retained', '', cast(count(*) as varchar) from tr join asked using (q) where path <> first having count(*) > 0""",
+)
+def artifact_audit(spark: SparkSession, d: str) -> DataFrame:
+    """H8: the generated tasks as files of trajectories and anchors, one a skill, with every rule for such files."""
+    split = F.lower(F.trim("split"))
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(n) for c, n in (("gold_skill_ids", "gold"), ("origin_skill_ids", "origin"))]
+    t = table(spark, d, "synthetic_task").select("instance_id", "question", split.alias("split"), "dataset", *lists).distinct()
+    w = t.withColumn("kind", F.when(F.col("split").isin("train", "training"), "trajectory").otherwise("anchor")).withColumn("skill_id", F.coalesce(F.get("origin", F.lit(0)), F.get("gold", F.lit(0))))
+    r = w.where("skill_id is not null").withColumn("path", F.concat("kind", F.lit("/"), "skill_id", F.lit(".json"))).withColumnRenamed("instance_id", "id")
+    n = F.count(F.lit(1))
+    files = r.groupBy("path", "kind", "skill_id").agg(
+        F.when(F.count("dataset") == n, U.ANCHOR_SOURCE).alias("source_kind"), F.max("dataset").alias("model"), F.when(n > 1, "dense_rerank").otherwise("dense").alias("retriever"),
+        F.min("dataset").alias("retriever_model"), F.when(n > 2, F.min("dataset")).otherwise("").alias("reranker_model"), F.when(n % 2 == 0, U.ANCHOR_POLICY).alias("near_policy"), F.countDistinct("id").alias("nearmiss_requested"),
+    )
+    files = files.withColumn("directory", F.concat("kind", F.lit("/all"))).withColumn("nearmiss_kept", F.col("nearmiss_requested")).withColumn("random_requested", F.lit(0)).withColumn("random_kept", F.lit(0))
+    rows = r.select("path", "id", "question", F.col("dataset").alias("source_question"), F.col("gold").alias("source_skill_ids"))
+    skills = table(spark, d, "skill_corpus")
+    suites = table(spark, d, "bench_instance").select("dataset").where("dataset is not null").distinct().count()
+    return U.artifact_audit(files, rows, skills, EXPECTED, skills, suites, "dense_rerank", normalize_native)
+
+
 @core.query(
     "retrieval_audit",
     f"""with {BENCH}, {SKILLS}, {counts_sql()}, {bm25_sql(10)}, r as (select * from bm25 where score >= 12 union all select 'nobody', 'theoremqa_999', 1.0, 1),

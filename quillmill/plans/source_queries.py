@@ -153,3 +153,20 @@ def stream_once(spark: SparkSession, d: str) -> DataFrame:
     once = J.once_delivered(J.event_stream(spark, src, EVENT, "ts", "3650 days"), "event_id")
     J.run_batches(once, lambda df, n: df.write.mode("append").parquet(out), f"{out}-checkpoint")
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))
+
+
+@core.query("strict_lines", "select record_id, method, raw_output from inference_record where raw_output is not null")
+def strict_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Replies through a JSONL file whose every line must be a document."""
+    p = _path(spark, "strict")
+    table(spark, d, "inference_record").where("raw_output is not null").select("record_id", "method", "raw_output").write.json(p)
+    return A.read_strict(spark, p, "record_id bigint, method string, raw_output string")
+
+
+@core.query("optional_artifacts", "select skill_id, name, 'there' as source from skill_corpus")
+def optional_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """An artifact that is there, and one that isn't and so has no rows."""
+    p = _path(spark, "optional")
+    Z.write_atomic(table(spark, d, "skill_corpus").select("skill_id", "name"), p)
+    there, missing = (A.read_optional(spark, x, "skill_id string, name string") for x in (p, p + "-missing"))
+    return there.withColumn("source", F.lit("there")).unionByName(missing.withColumn("source", F.lit("missing")))
