@@ -98,6 +98,7 @@ def toolqa_match(extracted: Column, answer: Column) -> Column:
 
 # -- logicbench ------------------------------------------------------------------------------------
 
+# Wordings that deny a conclusion; those of stated answers stand in the functions that look for them.
 NEGATIONS = (
     r"cannot\s+(?:be\s+)?(?:conclude|infer|say|determine)",
     r"not\s+necessarily\s+true",

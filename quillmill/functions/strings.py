@@ -264,6 +264,9 @@ def tool_call_of(text: str | None, known: dict[str, list[str]]) -> str | None:
 _MARK = r"[ \t]*(?:Thought|Action|Observation)[ \t]*\d*[ \t]*:"
 
 
+THOUGHT_CHARS = 4000  # fixed value: characters of a thought that are kept
+
+
 def react_step(text: str | None, step: int) -> tuple[str, str]:
     """(thought, action) of a reply in steps.
 
@@ -277,4 +280,4 @@ def react_step(text: str | None, step: int) -> tuple[str, str]:
     mark = next((m for m in hits if m.group(1) == str(step)), hits[0] if hits else None)
     thought = re.sub(r"^Thought[ \t]*\d*[ \t]*:[ \t]*", "", (t[: mark.start()] if mark else t).strip()).strip().replace("\n", " ")
     action = re.split(rf"\n{_MARK}", t[mark.end() :].strip(), maxsplit=1)[0].rstrip() if mark else ""
-    return (thought[:4000] + "..." if len(thought) > 4000 else thought), action
+    return (thought[:THOUGHT_CHARS] + "..." if len(thought) > THOUGHT_CHARS else thought), action
