@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -24,6 +26,17 @@ class Sequences:
         return np.where(mask, self.begin[rows][:, None] + place[None, :], 0), mask
 
 
+def _groups(lengths: np.ndarray, batch: int, cells: int) -> Iterator[tuple[int, int]]:
+    """Runs of ascending lengths: at most ``batch`` rows and, padded, ``cells`` places, or a single row."""
+    at = 0
+    while at < len(lengths):
+        stop = min(at + batch, len(lengths))
+        while stop - at > 1 and (stop - at) * lengths[stop - 1] > cells:
+            stop = at + max(1, min(stop - at - 1, cells // int(lengths[stop - 1])))
+        yield at, stop
+        at = stop
+
+
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis=axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
@@ -72,8 +85,8 @@ class Crf:
         order = np.argsort(s.lengths, kind="stable")
         order = order[s.lengths[order] > 0]
         groups = []
-        for at in range(0, len(order), batch):
-            rows = np.sort(order[at : at + batch])
+        for at, stop in _groups(s.lengths[order], batch, 50_000):
+            rows = np.sort(order[at:stop])
             place, mask = s.take(rows)
             clauses = place[mask]
             inside = np.zeros(len(s.x), dtype=bool)
@@ -109,16 +122,16 @@ class Crf:
                     p += pace * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def decode(self, s: Sequences, batch: int = 1024) -> np.ndarray:
-        """The most likely label of every clause (Viterbi), rows of similar length together."""
+    def decode(self, s: Sequences, batch: int = 1024, cells: int = 200_000) -> np.ndarray:
+        """The most likely label of every clause (Viterbi), rows of similar length together, padded to ``cells`` at most."""
         out = np.zeros(len(s.x), dtype=np.int64)
         if not len(s.x):
             return out
         e = self.emissions(s)
         order = np.argsort(s.lengths, kind="stable")
         order = order[s.lengths[order] > 0]
-        for at in range(0, len(order), batch):
-            place, mask = s.take(order[at : at + batch])
+        for at, stop in _groups(s.lengths[order], batch, cells):
+            place, mask = s.take(order[at:stop])
             n, length = mask.shape
             score = e[place[:, 0]]
             back = np.zeros((n, length, self.t.shape[0]), dtype=np.int8)

@@ -362,6 +362,19 @@ def test_batches_do_not_matter(tagger):
     assert together == [tagger.defects([r], [q])[0] for r, q in zip(replies, questions)]
 
 
+def test_a_long_reply_among_short_ones(tagger):
+    """Thousands of clauses in one reply neither pad the others nor change them."""
+    short = [(r, q) for r, q, _ in made(6, 5)]
+    long = " ".join(STEPS * 1500) + " Answer: 5"
+    together = tagger.defects([long, *(r for r, _ in short)], [QUESTION, *(q for _, q in short)])
+    assert together == [None, *tagger.defects([r for r, _ in short], [q for _, q in short])]
+    s = Sequences(np.random.default_rng(1).random((3050, 2)), np.array([3000, 20, 0, 25, 5]))
+    m = Crf(2, 3)
+    m.w[:] = np.random.default_rng(2).normal(size=(2, 3))
+    m.t[:] = np.random.default_rng(3).normal(size=(3, 3))
+    assert (m.decode(s) == m.decode(s, cells=10)).all()
+
+
 def test_question_before_a_sound_reply(tagger):
     """A copy of the question in front, words of declining inside the steps: still no defect."""
     rng = random.Random(9)
